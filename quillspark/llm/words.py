@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes that are taken together; a longer single text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+#: Bytes and documents that are taken together at most; a longer single text is a chunk of its own.
+CHUNK_BYTES, CHUNK_DOCS = 1 << 20, 1 << 10
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -61,11 +61,23 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    total: np.ndarray  # running sums over the bytes, for hashes of parts of words
 
     @property
     def docs(self) -> int:
         return len(self.first) - 1
 
+    def part_hash(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word (of all, if it has fewer)."""
+        stop = np.minimum(self.begin + size, self.end)
+        return mix((self.total[stop] - self.total[self.begin]) * powers(len(self.data) + 1)[1][self.begin] + np.uint64(size))
+
+    def count(self, marked: np.ndarray) -> np.ndarray:
+        """How many bytes of each word are of the kinds that ``marked`` (256 flags) marks."""
+        runs = np.zeros(len(self.data) + 1, np.int32)
+        np.cumsum(marked[self.data], out=runs[1:])
+        return runs[self.end] - runs[self.begin]
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.docs), np.diff(self.first))
 
@@ -86,7 +98,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, separators: np.ndarray = SPACES,
     n, row = len(at) - 1, 0
     while row < n:
         stop = int(np.searchsorted(at, at[row] + chunk_bytes, side="right")) - 1
-        stop = min(max(stop, row + 1), n)
+        stop = min(max(stop, row + 1), row + CHUNK_DOCS, n)
         part = data[at[row] : at[stop]]
         offsets = at[row : stop + 1] - at[row]
         yield _words(row, LOWER[part] if fold else part, offsets, separators)
@@ -110,7 +122,7 @@ def _words(row: int, data: np.ndarray, offsets: np.ndarray, separators: np.ndarr
     np.cumsum(_BYTE[data] * up[:size], out=total[1:])
     raw = (total[end] - total[begin]) * down[begin]
     raw += (end - begin).astype(np.uint64) * _MULT
-    return Words(row, data, begin, end, np.searchsorted(begin, offsets), mix(raw))
+    return Words(row, data, begin, end, np.searchsorted(begin, offsets), mix(raw), total)
 
 
 def grams(words: Words, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,14 +163,19 @@ def grams(words: Words, n: int, short: bool = True) -> tuple[np.ndarray, np.ndar
     return out[order], docs[order], where[order]
 
 
+#: Bits of a hash that sets of hashes keep, so that a chunk's sets sort as single whole numbers.
+SET_BITS = 54
+
+
 def distinct_by_doc(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each document, ascending (as unsigned), and where each document's begin. docs: ascending."""
-    order = np.lexsort((hashes, docs))
-    h, d = hashes[order], docs[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[keep], d[keep]
-    return h, np.searchsorted(d, np.arange(n_docs + 1))
+    """Distinct hashes (their upper 54 bits) of each document of a chunk, ascending, and where each document's begin."""
+    keys = (docs.astype(np.uint64) << np.uint64(SET_BITS)) | (hashes >> np.uint64(64 - SET_BITS))
+    keys.sort()
+    keep = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=keep[1:])
+    keys = keys[keep]
+    first = np.searchsorted(keys >> np.uint64(SET_BITS), np.arange(n_docs + 1, dtype=np.uint64))
+    return keys & np.uint64((1 << SET_BITS) - 1), first
 
 
 def int_list(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
