@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, packing, pii, quality, topk, toxicity, urls
+from . import decontaminate, html_text, packing, pii, quality, substrings, topk, toxicity, urls
 
 #: Key of the pseudonyms in the queries; deployments pass their own.
 PSEUDONYM_KEY = b"quillspark demonstration key"
@@ -60,6 +60,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -90,10 +94,22 @@ SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict
 """
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, n, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+y AS (SELECT doc_id, n, i, array_to_string(w[i:i + 49], ' ') AS s FROM x),
+z AS (SELECT *, min(doc_id) OVER (PARTITION BY s) AS least FROM y),
+gone AS (SELECT DISTINCT n, unnest(range(i, i + 50)) AS p FROM z WHERE least < doc_id),
+word AS (SELECT doc_id, n, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM d),
+kept AS (SELECT word.n, count(gone.p) AS n_removed, string_agg(t, ' ' ORDER BY word.p) FILTER (WHERE gone.p IS NULL) AS s FROM word LEFT JOIN gone ON word.n = gone.n AND word.p = gone.p GROUP BY word.n)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (n)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ball_tree_top_k": OP1_SQL, "op3_url_rules": OP3_SQL}
+    return {"op1_ball_tree_top_k": OP1_SQL, "op3_url_rules": OP3_SQL, "op6_substring_dedup": OP6_SQL}

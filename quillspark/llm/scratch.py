@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -72,3 +73,9 @@ def drop_table(df: DataFrame) -> None:
     path = getattr(df, "_quillspark_path", None)
     if path:
         _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: its cleaner acts when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
