@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, packing, pii, quality, substrings, topk, toxicity, urls
+from . import decontaminate, html_text, jaccard, packing, pii, quality, substrings, topk, toxicity, urls
 
 #: Key of the pseudonyms in the queries; deployments pass their own.
 PSEUDONYM_KEY = b"quillspark demonstration key"
@@ -64,6 +64,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -106,10 +110,20 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, n, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS MATERIALIZED (SELECT doc_id, n, len(s) AS size, unnest(s) AS g FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.n <> b.n GROUP BY a.n, b.n, a.doc_id, b.doc_id, a.size, b.size HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*))),
+r AS (SELECT DISTINCT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.reach)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.reach) AS component_id FROM s LEFT JOIN r ON r.node = s.doc_id GROUP BY s.n, s.doc_id, s.s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ball_tree_top_k": OP1_SQL, "op3_url_rules": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op1_ball_tree_top_k": OP1_SQL, "op3_url_rules": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op7_ngram_jaccard": OP7_SQL}
