@@ -9,7 +9,7 @@ lies inside a window of words, every other occurrence of the window has the same
 So one high-level symbol can stand for a window: the one that covers most words, of equals the least by hash. Neighbouring
 windows mostly choose the same, so a document has far fewer of them than windows, and only they are brought together
 over the corpus. A window whose symbol occurs in no earlier document (and in no later one) cannot repeat; the others are
-compared by 128-bit digests of their words.
+compared by 96-bit digests of their words.
 """
 
 from __future__ import annotations
@@ -173,12 +173,13 @@ def _windows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
                 if not len(some):
                     continue
                 at = x.starts[some]
-                one, two = (d[at].view(np.int64) for d in window_digests(found.hash, window))
+                one, two = (d[at] for d in window_digests(found.hash, window))
+                one, two = one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 d = x.doc[some]
                 columns = [one, two, ids[found.row + d], kinds[found.row + d], (at - found.first[d]).astype(np.int32), late[some], early[some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc_id", "kind", "start", "late", "early"])
 
-    return docs.mapInArrow(run, "one long, two long, doc_id long, kind long, start int, late boolean, early boolean")
+    return docs.mapInArrow(run, "one long, two int, doc_id long, kind long, start int, late boolean, early boolean")
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
