@@ -6,8 +6,9 @@ share of each set that the threshold gives), and how many at least follows from
 multiplied, block by block of columns; overlap counts of a pair are added up over the blocks, and pairs below their bound
 are discarded. The rest are compared in full.
 
-The order puts n-grams that are frequent somewhere last. Documents with equal sets are one row. Before the
-product, each document is compared with one representative in each of its columns; columns that hold a single component
+The order puts n-grams that are frequent somewhere last, so that what only one document has comes first; how many such
+columns a document has bounds its overlap with any other (its ``cap``). Documents with equal sets are one row. Before the
+product, each document is compared with a few representatives of its columns; columns that hold a single component
 by then have nothing to add, which is what keeps groups of thousands of copies linear.
 """
 
@@ -21,17 +22,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
 from .components import components
-from .scratch import drop_table, persist_table, release
+from .scratch import drop_table, persist_table, release, sent_if_few
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: N-grams that are put last in the order, at most; each is 8 bytes in every task. More than these only cost time.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 22
 #: N-grams that are counted together for that, and the count there from which one is reported.
-_BLOCK, _OFTEN = 1 << 22, 4
+_BLOCK, _OFTEN = 1 << 22, 2
 _HOT_BITS = 22
 PIVOTS = 3
+#: Columns with more documents, or with more possible pairs for each document, are multiplied with whole sets, in blocks of so many members.
+_LOOKED, _PAIRS, _MEMBERS = 4096, 8, 1024
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[W.Words, np.ndarray, np.ndarray]]:
@@ -131,7 +134,7 @@ def _least(size: np.ndarray | Column, percent: int) -> np.ndarray | Column:
 
 
 def _columns(docs: DataFrame, n: int, percent: int, frequent: _Frequent) -> DataFrame:
-    """(gram, doc_id, size): the first columns of each document's set; equal sets that one task meets give one row."""
+    """(gram, doc_id, size): the first columns of each document's set, and -1 less the last of them; equal sets that one task meets give one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = _First()
@@ -151,7 +154,10 @@ def _columns(docs: DataFrame, n: int, percent: int, frequent: _Frequent) -> Data
                 place = np.arange(len(keys)) - np.repeat(first[:-1], sizes)
                 keep = place < np.repeat(take, sizes)
                 gram = (keys[keep] & np.uint64((1 << W.SET_BITS) - 1)).view(np.int64)
-                columns = [pa.array(gram), pa.array(np.repeat(ids[found.row : found.row + found.docs][new], take), pa.int64()), pa.array(np.repeat(sizes, take).astype(np.int32))]
+                # one more row tells where each document's first columns end
+                gram = np.concatenate([gram, -1 - gram[np.cumsum(take) - 1]])
+                kept = ids[found.row : found.row + found.docs][new]
+                columns = [pa.array(gram), pa.array(np.concatenate([np.repeat(kept, take), kept]), pa.int64()), pa.array(np.concatenate([np.repeat(sizes, take), sizes]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "size"])
 
     return docs.mapInArrow(run, "gram long, doc_id long, size int")
@@ -174,79 +180,168 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
-def _shared(columns: DataFrame, pivots: int) -> DataFrame:
-    """Columns with two documents or more, each row with the column's ``pivots`` representatives: p0, p1, ... and their sizes."""
+def _shared(columns: DataFrame) -> DataFrame:
+    """Rows of columns with two documents or more, and the rows that are no columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gram, doc, size in _groups(batches):
+            new = np.concatenate([[True], gram[1:] != gram[:-1], [True]])
+            keep = ~(new[:-1] & new[1:]) | (gram < 0)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (gram, doc, size)], names=["gram", "doc_id", "size"])
+
+    return columns.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, columns.schema)
+
+
+def _capped(shared: DataFrame, percent: int) -> DataFrame:
+    """Shared columns with ``last``, the document's last first column, and ``cap``: its size less its first columns that it shares with none.
+
+    Of two documents, the first columns of that with the smaller ``last`` are first columns of the other too, if it has them: so its
+    cap bounds their overlap.
+    """
+    first = F.col("size") - _least(F.col("size"), percent) + 1
+    facts = shared.groupBy("doc_id").agg((F.first("size") - F.first(first) + F.sum((F.col("gram") >= 0).cast("int"))).cast("int").alias("cap"), F.max(F.when(F.col("gram") < 0, -1 - F.col("gram"))).alias("last"))
+    return shared.where("gram >= 0").join(facts, "doc_id").select("gram", "doc_id", "size", "cap", "last")
+
+
+def _stars(rows: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """(a, size_a, b, size_b): in each column, each document with up to ``pivots`` representatives that it can be linked to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, doc, size, cap, last in _groups(batches):
             head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             times = np.diff(np.append(head, len(gram)))
-            keep = np.repeat(times > 1, times)
-            if not keep.any():
-                continue
-            gram, doc, size, times = gram[keep], doc[keep], size[keep], times[times > 1]
-            head = np.cumsum(times) - times
             group = np.repeat(np.arange(len(head)), times)
-            out = [pa.array(gram), pa.array(doc), pa.array(size)]
             for k in range(pivots):
-                # the same document leads most of the columns that a group of copies shares
-                order = np.lexsort((W.mix(doc.view(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)), group))
-                lead = order[head][group]
-                out += [pa.array(doc[lead]), pa.array(size[lead])]
-            yield pa.RecordBatch.from_arrays(out, names=["gram", "doc_id", "size", *(f"{x}{k}" for k in range(pivots) for x in ("p", "s"))])
+                # first whoever has least of its own; then by hash, so that one document leads most columns that a group of copies shares
+                order = [W.mix(doc.view(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)), group]
+                if k == 0:
+                    order.insert(1, (size - cap) / size)
+                lead = np.lexsort(order)[head][group]
+                keep = np.flatnonzero((doc != doc[lead]) & _possible((size, cap, last), (size[lead], cap[lead], last[lead]), percent))
+                at = lead[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[keep], size[keep], doc[at], size[at])], names=["a", "size_a", "b", "size_b"])
+
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, size_a int, b long, size_b int")
+
+
+def _possible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int) -> np.ndarray:
+    """Whether size, cap and last column of two documents each leave room for a link."""
+    needed = -(-(a[0].astype(np.int64) + b[0]) * percent // (100 + percent))
+    cap = np.where(a[2] < b[2], a[1], np.where(a[2] > b[2], b[1], np.minimum(a[1], b[1])))
+    return np.minimum(cap, np.minimum(a[0], b[0])) >= needed
 
-    schema = "gram long, doc_id long, size int, " + ", ".join(f"p{k} long, s{k} int" for k in range(pivots))
-    return columns.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, schema)
+
+def _pairs(size: np.ndarray, cap: np.ndarray, last: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray]:
+    """The pairs of a column's documents that can be linked and are not in one component, and which documents have any.
+
+    Without pairs (None) where a column has more of them than _PAIRS for each document, or more than _LOOKED documents.
+    """
+    n = len(size)
+    if n > _LOOKED:
+        return None, None, np.ones(n, bool)
+    first, second, total, some = [], [], 0, np.zeros(n, bool)
+    for lo in range(0, n - 1, 256):
+        i = np.arange(lo, min(lo + 256, n))[:, None]
+        j = np.arange(lo + 1, n)[None, :]
+        room = (j > i) & (component[i] != component[j]) & _possible((size[i], cap[i], last[i]), (size[j], cap[j], last[j]), percent)
+        a, b = np.nonzero(room)
+        some[a + lo] = some[b + lo + 1] = True
+        total += len(a)
+        if total <= _PAIRS * n:
+            first.append(a + lo)
+            second.append(b + lo + 1)
+    if total > _PAIRS * n:
+        return None, None, some
+    return np.concatenate(first), np.concatenate(second), some
 
 
 def _product(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, size_a, b, size_b, overlap) of documents in different components, each with how many columns of this task they share."""
+    """What the columns with several components multiply to.
+
+    Most columns give pairs (a, size_a, b, size_b) with how many columns of this task they share (overlap). Columns with too many
+    of them give their members (gram, a, component, blocks) instead: they are multiplied with whole sets, see :func:`_blocks`.
+    """
+    names = ["a", "size_a", "b", "size_b", "overlap", "gram", "component", "blocks"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size_of: list[np.ndarray] = []
         waiting = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size_of, waiting
+            nonlocal held, waiting
             if held:
                 pairs = np.concatenate(held, axis=1)
-                sizes = np.concatenate(size_of, axis=1)
-                order = np.lexsort((pairs[1], pairs[0]))
-                pairs, sizes = pairs[:, order], sizes[:, order]
-                new = np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])
-                head = np.flatnonzero(new)
+                pairs = pairs[:, np.lexsort((pairs[2], pairs[0]))]
+                head = np.flatnonzero(np.concatenate([[True], (pairs[::2, 1:] != pairs[::2, :-1]).any(axis=0)]))
                 times = np.diff(np.append(head, pairs.shape[1]))
-                columns = [pairs[0, head], sizes[0, head].astype(np.int32), pairs[1, head], sizes[1, head].astype(np.int32), times]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "size_a", "b", "size_b", "overlap"])
-            held, size_of, waiting = [], [], 0
+                none = [pa.nulls(len(head), k) for k in kinds[5:]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[head], k) for c, k in zip(pairs, kinds, strict=False)), pa.array(times), *none], names=names)
+            held, waiting = [], 0
 
-        for gram, doc, size, component in _groups(batches):
+        for gram, doc, size, cap, last, component in _groups(batches):
             head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             tail = np.append(head[1:], len(gram))
             for lo, hi in zip(head.tolist(), tail.tolist(), strict=True):
-                d, s, c = doc[lo:hi], size[lo:hi], component[lo:hi]
+                d, s, m, e, c = doc[lo:hi], size[lo:hi], cap[lo:hi], last[lo:hi], component[lo:hi]
                 if (c == c[0]).all():
                     continue
-                order = np.argsort(s, kind="stable")
-                d, s, c = d[order], s[order], c[order]
-                # beyond these no set is small enough to link
-                stop = np.searchsorted(s, s * 100 // percent, side="right")
-                for i in range(len(d) - 1):
-                    j = np.arange(i + 1, stop[i])
-                    j = j[c[j] != c[i]]
-                    if len(j):
-                        swap = d[j] < d[i]
-                        a, b = np.where(swap, d[j], d[i]), np.where(swap, d[i], d[j])
-                        held.append(np.stack([a, b]))
-                        size_of.append(np.stack([np.where(swap, s[j], s[i]), np.where(swap, s[i], s[j])]))
-                        waiting += len(j)
-                        if waiting >= 500_000:
-                            yield from flush()
+                i, j, some = _pairs(s, m, e, c, percent)
+                if i is None:
+                    own = [d[some], s[some], gram[lo:hi][some], c[some]]
+                    none = [pa.nulls(len(own[0]), k) for k in kinds[2:5]]
+                    blocks = np.full(len(own[0]), -(-len(own[0]) // _MEMBERS), np.int32)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(own[:2], kinds, strict=False)), *none, *map(pa.array, own[2:]), pa.array(blocks)], names=names)
+                elif len(i):
+                    swap = d[j] < d[i]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    held.append(np.stack([d[i], s[i], d[j], s[j]]))
+                    waiting += len(i)
+                    if waiting >= 500_000:
+                        yield from flush()
         yield from flush()
 
-    dealt = rows.repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "a long, size_a int, b long, size_b int, overlap long")
+    schema = "a long, size_a int, b long, size_b int, overlap long, gram long, component long, blocks int"
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, schema)
+
+
+def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within large columns, by a blocked product of whole sets.
+
+    A column with more members than a block holds is dealt to pairs of blocks, so no task holds more than two blocks; of all links
+    between two components one is given.
+    """
+    mine = F.pmod(F.xxhash64("a"), F.col("blocks"))
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine.cast("int")).alias("x"), F.greatest(k, mine.cast("int")).alias("y")))
+    dealt = members.join(sets.select(F.col("doc_id").alias("a"), "grams"), "a").withColumn("k", F.explode(both)).select("gram", "k.x", "k.y", "a", "component", "grams")
+
+    def multiply(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, component = rows["a"].to_numpy(), rows["component"].to_numpy()
+        lists = rows["grams"].combine_chunks()
+        first = lists.offsets.to_numpy()
+        size = np.diff(first)
+        owner = np.repeat(np.arange(len(ids)), size)
+        values, place, times = np.unique(lists.values.to_numpy()[first[0] : first[-1]], return_inverse=True, return_counts=True)
+        # columns of a single document add nothing to any overlap
+        live = np.cumsum(times > 1) - 1
+        keep = times[place] > 1
+        owner, place = owner[keep], live[place[keep]]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        overlap = np.zeros((len(ids), len(ids)), np.float32)
+        for lo in range(0, int((times > 1).sum()), 1024):
+            a, b = np.searchsorted(place, (lo, lo + 1024))
+            block = np.zeros((len(ids), 1024), np.float32)
+            block[owner[a:b], place[a:b] - lo] = 1
+            overlap += block @ block.T
+        linked = (100 + percent) * overlap >= percent * (size[:, None] + size[None, :]).astype(np.float32)
+        i, j = np.nonzero(np.triu(linked & (component[:, None] != component[None, :]), 1))
+        pairs = np.sort(np.stack([component[i], component[j]]), axis=0)
+        _, one = np.unique(pairs, axis=1, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(ids[i[one]], pa.int64()), "b": pa.array(ids[j[one]], pa.int64())})
+
+    return dealt.groupBy("gram", "x", "y").applyInArrow(multiply, "a long, b long")
 
 
 def _bound(percent: int, a: str = "size_a", b: str = "size_b") -> Column:
@@ -255,9 +350,8 @@ def _bound(percent: int, a: str = "size_a", b: str = "size_b") -> Column:
     return both + 1 - F.greatest(_least(F.col(a), percent), _least(F.col(b), percent))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _whole_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """(doc_id, grams) of the documents in ``needed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,14 +359,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                 ids = batch.column(0).slice(found.row, found.docs)
                 yield pa.RecordBatch.from_arrays([ids, W.int_list(values.view(np.int64), first, pa.int64())], names=["doc_id", "grams"])
 
-    sets = persist_table(docs.join(needed, "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams array<long>"), "sets")
+    return persist_table(docs.join(sent_if_few(needed.distinct()), "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams array<long>"), "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked, by their whole sets."""
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     overlap = F.size(F.array_intersect("x", "y"))
-    linked = both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b")
-    out = persist_table(linked, "links")
-    drop_table(sets)
-    return out
+    return persist_table(both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
@@ -294,30 +393,37 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, p
     filled = rows.where("n_shingles > 0 and doc_id is not null")
     copies = filled.join(filled.groupBy("one", "two").agg(F.min("doc_id").alias("least")), ["one", "two"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     copies = persist_table(copies, "copies")
-    shared = persist_table(_shared(_columns(known, n, percent, frequent), pivots), "shared")
+    shared = persist_table(_shared(_columns(known, n, percent, frequent)), "shared")
+    rows_of = persist_table(_capped(shared, percent), "columns")
+    drop_table(shared)
     release(docs.sparkSession)
 
-    stars = None
-    for k in range(pivots):
-        star = shared.where(f"doc_id <> p{k}").select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col(f"p{k}").alias("b"), F.col(f"s{k}").alias("size_b"), F.lit(k).alias("k"))
-        stars = star if stars is None else stars.unionByName(star)
-    counted = stars.groupBy("k", "a", "size_a", "b", "size_b").agg(F.count("*").alias("overlap"))
+    counted = _stars(rows_of, pivots, percent).groupBy("a", "size_a", "b", "size_b").agg(F.count("*").alias("overlap"))
     # a pivot may not lead all columns that it shares, so half of the bound is enough here: the product decides
-    likely = counted.where((2 * F.col("overlap") >= _bound(percent)) & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")))
-    best = likely.groupBy("k", "a").agg(F.max(F.struct("overlap", F.col("b"))).alias("x")).select("a", F.col("x.b").alias("b")).distinct()
-    best = persist_table(best, "likely")
-    links = copies.unionByName(_verified(best, known, n, percent))
+    likely = persist_table(counted.where(2 * F.col("overlap") >= _bound(percent)).select("a", "b", "overlap"), "likely")
+    best = persist_table(likely.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b")), "best")
+    sets = _whole_sets(known, _ends(likely), n)
+    linked = _verified(best, sets, percent)
+    # whoever the best one does not link with tries the others
+    others = likely.select("a", "b").join(linked.select("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti")
+    more = _verified(others, sets, percent)
+    drop_table(sets)
+    links = copies.unionByName(linked).unionByName(more)
     release(docs.sparkSession)
 
     label = persist_table(components(links), "labels")
-    joined = shared.select("gram", "doc_id", "size").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rest = _product(joined.select("gram", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")), percent)
-    added = rest.groupBy("a", "size_a", "b", "size_b").agg(F.sum("overlap").alias("overlap")).where(F.col("overlap") >= _bound(percent)).select("a", "b")
-    added = persist_table(added, "product")
-    drop_table(shared)
-    if added.take(1):
+    joined = rows_of.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rest = persist_table(_product(joined.select("gram", "doc_id", "size", "cap", "last", F.coalesce("component", "doc_id").alias("component")), percent), "product")
+    drop_table(rows_of)
+    pairs = rest.where("gram is null").groupBy("a", "size_a", "b", "size_b").agg(F.sum("overlap").alias("overlap"))
+    pairs = persist_table(pairs.where(F.col("overlap") >= _bound(percent)).select("a", "b"), "pairs")
+    members = rest.where("gram is not null").select("gram", "a", "component", "blocks")
+    needed = _ends(pairs).unionByName(members.select(F.col("a").alias("doc_id")))
+    if needed.take(1):
+        sets = _whole_sets(known, needed, n)
+        added = _verified(pairs, sets, percent).unionByName(_blocks(members, sets, percent))
         # components so far stand for their links
-        links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(added, known, n, percent))
-        label = persist_table(components(links), "labels")
+        label = persist_table(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added)), "labels")
+        drop_table(sets)
     release(docs.sparkSession)
     return rows.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

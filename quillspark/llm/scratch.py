@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _ROOTS: dict[str, weakref.ref] = {}
 
@@ -79,3 +79,12 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: its cleaner acts when the driver's JVM collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of ids that a join may send to every task: some 30 MB there.
+FEW = 1_000_000
+
+
+def sent_if_few(ids: DataFrame, limit: int = FEW) -> DataFrame:
+    """Narrow rows for one side of a join: broadcast if they are at most ``limit``, by count; else the join shuffles."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
