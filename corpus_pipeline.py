@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import decontaminate, jaccard, packing, pii, quality
 from quillspark.llm.queries import PSEUDONYM_KEY, table, tokenizer_files
-from quillspark.llm.scratch import persist_table
+from quillspark.llm.scratch import persist_table, sent_if_few
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that with the least doc_id, of equal ones any. Rows without doc_id stay."""
-    found = jaccard.near_duplicates(docs)
+    found = persist_table(jaccard.near_duplicates(docs), "near-duplicates")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(sent_if_few(gone), "doc_id", "left_anti").select(docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.take(1):
         return kept
+    again = sent_if_few(again)
     # some doc_ids occur more than once: of such rows one stays
     single = kept.join(again, "doc_id", "left_anti").select(docs.columns)
     return single.unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
