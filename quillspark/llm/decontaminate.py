@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .scratch import small_batches
 
 SEED_WORDS = 3
 #: Words; a shorter item would match anything and is not searched.
@@ -168,6 +169,8 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = 8 << 20) -> Iterator[list
 def _rare(docs: DataFrame, items: Items) -> Items:
     """Seeds of the items, with n-gram counts over the whole texts of all documents."""
 
+    small_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(items.grams), np.int64)
         for batch in batches:

@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
 from .components import components
-from .scratch import drop_table, persist_table, release, sent_if_few
+from .scratch import drop_table, persist_table, release, sent_if_few, small_batches
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: N-grams that are put last in the order, at most; each is 8 bytes in every task. More than these only cost time.
-FREQUENT = 1 << 22
+FREQUENT = 1 << 21
 #: N-grams that are counted together for that, and the count there from which one is reported.
 _BLOCK, _OFTEN = 1 << 22, 2
 _HOT_BITS = 22
@@ -385,6 +385,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, p
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null and text is not null")
+    small_batches(docs.sparkSession)
     summary = persist_table(_summary(docs, n), "summary")
     rows = summary.where("one is not null")
     often = summary.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(FREQUENT)

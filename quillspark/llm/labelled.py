@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .features import Sparse
+from .scratch import small_batches
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, featurise: Callable[[pa.Array], Sparse], limit: int, use: Column | None = None) -> tuple[Sparse, np.ndarray]:
@@ -17,6 +18,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, featurise: Callable[[
     labels: doc_id and ``label``; rows without either are left out, and of several labels of a doc_id the largest counts.
     ``use`` says which rows of labels may be learnt from. The rows are sorted, so equal inputs give equal models.
     """
+    small_batches(docs.sparkSession)
     rows = labels.select("doc_id", F.col(label).cast("double").alias("_label")).where(F.col("doc_id").isNotNull() & F.col("_label").isNotNull())
     rows = rows.where(use) if use is not None else rows
     # at most ``limit`` pairs, so they may go to every task

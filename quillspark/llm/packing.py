@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import persist_table
+from .scratch import persist_table, small_batches
 
 #: Token that ends every document.
 END_ID = 2
@@ -157,6 +157,7 @@ def pack(
                 yield from flush()
         yield from flush()
 
+    small_batches(docs.sparkSession)
     pieces = persist_table(docs.mapInArrow(local, _PIECES), "pieces")
     moved = _merge_underfull(pieces, capacity, group_rows, fan_in)
     if moved is None:

@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import small_batches
+
 ROUNDS = 8
 _DAY_0 = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY_0
@@ -217,6 +219,7 @@ def protect(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     Null texts stay null, with no finds. Rows are taken one by one, whole texts: repeated rows give the same result. A
     column of docs that is called pii is replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("pii")
     at = docs.columns.index(text)
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .features import style
 from .labelled import sample
 from .models import Ordinal
+from .scratch import small_batches
 
 BITS = 17
 #: Labelled documents that a model is fitted on, at most.
@@ -45,6 +46,7 @@ def score(docs: DataFrame, model: Ordinal, grade: float | None = None, least: fl
     Null and empty texts are scored alike. Rows are taken one by one; repeated rows score the same, null doc_ids
     stay null, other columns are not read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,6 +60,7 @@ def score(docs: DataFrame, model: Ordinal, grade: float | None = None, least: fl
 
 def select(docs: DataFrame, model: Ordinal, grade: float | None = None, least: float = 0.4, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that :func:`score` selects."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

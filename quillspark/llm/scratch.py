@@ -25,15 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _root(spark: SparkSession) -> str:
+    """This application's own folder below the shared one, deleted when the driver ends."""
     base = shared_dir(spark)
-    key = f"{spark.sparkContext.applicationId}|{base}"
     for root, owner in _ROOTS.items():
         if root.startswith(base) and owner() is spark.sparkContext:
             return root
     root = f"{base}/quillspark-{uuid.uuid4().hex}"
     _ROOTS[root] = weakref.ref(spark.sparkContext)
     atexit.register(_remove, root)
-    del key
     return root
 
 
@@ -88,3 +87,15 @@ FEW = 1_000_000
 def sent_if_few(ids: DataFrame, limit: int = FEW) -> DataFrame:
     """Narrow rows for one side of a join: broadcast if they are at most ``limit``, by count; else the join shuffles."""
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+
+
+#: Rows of texts that go to Python at once, at most; texts can be long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size, so that a task holds few texts at a time on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .scratch import drop_table, persist_table, release
+from .scratch import drop_table, persist_table, release, small_batches
 
 WINDOW = 50
 ROUNDS = 4
@@ -216,6 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null and text is not null")
+    small_batches(docs.sparkSession)
     names = persist_table(_names(known, window, rounds), "names")
     shared = names.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     marked = names.join(shared, "name").groupBy("doc_id").agg(

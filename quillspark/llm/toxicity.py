@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .features import terms
 from .labelled import sample
 from .models import Factors
+from .scratch import small_batches
 
 BITS = 20
 #: Labelled documents that a model is fitted on, at most.
@@ -39,6 +40,7 @@ def score(docs: DataFrame, model: Factors, least: float = 0.5) -> DataFrame:
     Null and empty texts get the score of no terms. Rows are taken one by one; repeated rows score the same, null doc_ids
     stay null, other columns are not read.
     """
+    small_batches(docs.sparkSession)
     bits = len(model.weights).bit_length() - 1
     docs = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
 
