@@ -362,11 +362,7 @@ def kinds_and_properties(x: Index) -> DataFrame:
     return x.symbols.select("symbol_id", R.display_kind().alias("display_kind"), R.property_names().alias("props"))
 
 
-@_query("SELECT p_partkey AS id, ':' || (p_size + 1) || CASE WHEN p_partkey % 60 > p_size THEN '-' || (p_partkey % 60 + 1) ELSE '' END AS loc FROM part")
-def location_string(x: Index) -> DataFrame:
-    raise NotImplementedError
-
-
+_SQL["location_string"] = "SELECT p_partkey AS id, ':' || (p_size + 1) || CASE WHEN p_partkey % 60 > p_size THEN '-' || (p_partkey % 60 + 1) ELSE '' END AS loc FROM part"
 _QUERIES["location_string"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), R.location(F.col("p_size"), F.col("p_partkey") % 60).alias("loc"))
 
 
@@ -519,8 +515,71 @@ SELECT a.made, b.held FROM (SELECT DISTINCT made FROM m) a CROSS JOIN (SELECT DI
 _QUERIES["source_lines"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "code")).where("line BETWEEN 2 AND 4").select("doc_id", "line", "code")
 _SQL["source_lines"] = "SELECT doc_id, line, code FROM (SELECT doc_id, unnest(range(len(s)))::INTEGER AS line, unnest(s) AS code FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE line BETWEEN 2 AND 4"
 
-del _QUERIES["location_string"]
-_QUERIES["location_string"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), R.location(F.col("p_size"), F.col("p_partkey") % 60).alias("loc"))
+
+# Profiles
+
+
+@_query(
+    "SELECT symbol_id, CASE WHEN contains(t, '#') THEN regexp_extract(t, '([^#]*)$', 1) ELSE regexp_extract(t, '([^/]*)$', 1) END AS name FROM (SELECT symbol_id, regexp_replace(regexp_replace(fqn, '\\.+$', ''), '\\([^(]*$', '') AS t FROM v_symbols)",
+    "symbols",
+)
+def terminal_names(x: Index) -> DataFrame:
+    return x.symbols.select("symbol_id", T.terminal_name("fqn").alias("name"))
+
+
+_ONE = MEMBERS_FROM + 20
+
+
+@_query(
+    f"""SELECT 'caller' AS side, s.symbol_id FROM (SELECT src AS id FROM v_calls WHERE dst = {_ONE} UNION SELECT c.src FROM v_overrides o JOIN v_calls c ON c.dst = o.src WHERE o.dst = {_ONE}) n JOIN v_symbols s ON s.symbol_id = n.id
+  LEFT JOIN v_files f ON s.file_id = f.file_id WHERE n.id <> {_ONE} AND NOT {_CALL_NOISE}
+UNION ALL SELECT 'callee', s.symbol_id FROM v_calls c JOIN v_symbols s ON s.symbol_id = c.dst LEFT JOIN v_files f ON s.file_id = f.file_id WHERE c.src = {_ONE} AND NOT {_CALL_NOISE}""",
+    "calls", "overrides", "symbols", "files",
+)
+def call_neighbourhood(x: Index) -> DataFrame:
+    me = x.spark.createDataFrame([(_ONE,)], "symbol_id long")
+    shown = G.visible(x.located()).select("symbol_id")
+    callers = G.trait_aware_callers(x.edges_of("calls"), x.edges_of("overrides"), me).select(F.lit("caller").alias("side"), F.col("caller").alias("symbol_id"))
+    callees = x.edges_of("calls").where(F.col("src") == _ONE).select(F.lit("callee").alias("side"), F.col("dst").alias("symbol_id"))
+    return callers.unionByName(callees).join(shown, "symbol_id", "left_semi").select("side", "symbol_id")
+
+
+@_query("SELECT o.dst AS symbol_id, coalesce(b.name, regexp_extract(b.fqn, '([^/#.]*)$', 1)) AS base_name, b.fqn AS base_fqn FROM v_overrides o LEFT JOIN v_symbols b ON o.src = b.symbol_id", "overrides", "symbols")
+def overridden_names(x: Index) -> DataFrame:
+    bases = x.symbols.select(F.col("symbol_id").alias("src"), F.col("name").alias("base_name"), F.col("fqn").alias("base_fqn"))
+    return x.edges_of("overrides").join(bases, "src", "left").select(F.col("dst").alias("symbol_id"), F.coalesce("base_name", T.symbol_display_name("base_fqn")).alias("base_name"), "base_fqn")
+
+
+@_query(
+    f"SELECT s.symbol_id, (s.kind IN ('parameter', 'typeparameter', 'selfparameter', 'local') OR {_PLUMB} OR contains(s.name, '$default$') OR regexp_matches(s.name, '^_[0-9]+$') OR ((s.properties & 1024) <> 0 AND s.kind = 'method' AND contains(s.fqn, '#`<init>`'))) AS synthetic FROM v_symbols s",
+    "symbols",
+)
+def synthetic_symbols(x: Index) -> DataFrame:
+    return x.symbols.select("symbol_id", P.is_synthetic().alias("synthetic"))
+
+
+@_query(
+    f"""SELECT s.symbol_id, f.module_id IS NOT NULL AND coalesce(f.is_test, false) AS test, coalesce(f.is_generated, false) AS made, {_DISPLAY} AS module, coalesce(o.name, '') AS owner FROM v_symbols s
+LEFT JOIN v_files f ON s.file_id = f.file_id LEFT JOIN v_modules0 m ON f.module_id = m.module_id LEFT JOIN v_symbols o ON s.owner_id = o.symbol_id""",
+    "symbols", "files", "modules0",
+)
+def located_symbols(x: Index) -> DataFrame:
+    return x.located().select("symbol_id", P.flag("is_test").alias("test"), P.flag("is_generated").alias("made"), R.module_display().alias("module"), F.coalesce("owner_name", F.lit("")).alias("owner"))
+
+
+@_query()
+def search_best_one(x: Index) -> DataFrame:
+    return S.Resolver(x).one("store", kind="class").select("symbol_id", "name")
+
+
+@_query()
+def search_suggestions(x: Index) -> DataFrame:
+    return S.Resolver(x).suggestions("OrderStor0").select("name")
+
+
+@_query()
+def search_other_kinds(x: Index) -> DataFrame:
+    return S.Resolver(x).other_kinds("Store", include_noise=True).select("symbol_id", "name")
 
 
 def queries() -> dict[str, Query]:

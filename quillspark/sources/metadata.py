@@ -13,9 +13,9 @@ LISTS = {"scalac_options": "scalacOptions", "source_paths": "sources", "generate
 UPSTREAM = "upstreamCompileOutput"
 
 
-def json_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(dir, task, json) of all JSON files below a folder; files that are no JSON have a null."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder)
+def json_files(spark: SparkSession, *folders: str) -> DataFrame:
+    """(dir, task, json) of all JSON files below folders; files that are no JSON have a null."""
+    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(list(folders))
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
     return raw.select(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract(path, r"([^/]*)\.json$", 1).alias("task"), F.try_parse_json("value").alias("json"))
 

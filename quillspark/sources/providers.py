@@ -77,10 +77,26 @@ class Sbt:
         return Metadata(_rows(files.select("path", "module_segments"), "/test-meta/", "sbt-test", r"/scala-([^/]*)/"), spark.createDataFrame([], REWRITE))
 
 
+def _folders(root: str, name: str) -> list[str]:
+    """Folders of that name below a workspace, outermost ones; a listing of names only."""
+    found = []
+    for at, names, _ in os.walk(root):
+        if name in names:
+            found.append(os.path.join(at, name))
+            names.remove(name)
+    return sorted(found)
+
+
 class ScalaCli:
+    FOLDER = ".scala-build"
+
     def discover(self, spark: SparkSession, root: str) -> DataFrame:
+        # Spark's listings leave out names that begin with a dot unless they are asked for, so duplicates in .bloop are left out too
+        folders = _folders(root, self.FOLDER)
+        if not folders:
+            return spark.createDataFrame([], "path string, content binary, module_segments string")
         inside = F.concat(F.lit("/"), _relative(root))
-        files = binary_files(spark, root).where(inside.rlike(r"/\.scala-build/(?:.*/)?META-INF/semanticdb/") & ~inside.contains("/.bloop/"))
+        files = binary_files(spark, *folders).where(inside.rlike(r"/META-INF/semanticdb/") & ~inside.contains("/.bloop/"))
         return files.select("path", "content", F.translate(F.regexp_extract(_relative(root), r"^(.*?)/?(?<=^|/)\.scala-build/", 1), "/", ".").alias("module_segments"))
 
     def metadata(self, spark: SparkSession, root: str, files: DataFrame) -> Metadata | None:
@@ -91,10 +107,12 @@ class ScalaCli:
         sources = F.when(F.col("segments").isin(real), F.array(folder)).otherwise(F.array().cast("array<string>"))
         return Metadata(rows.withColumn("scala_version", F.lit(version)).withColumn("source_paths", sources), spark.createDataFrame([], REWRITE))
 
-    @staticmethod
-    def _version(spark: SparkSession, root: str) -> str:
-        found = json_files(spark, root).where(F.col("dir").rlike(r"/\.scala-build/\.bloop$"))
-        first = found.select("dir", "task", F.try_variant_get("json", "$.project.scala.version", "string").alias("v")).where("v is not null").orderBy("dir", "task").first()
+    def _version(self, spark: SparkSession, root: str) -> str:
+        folders = [f for f in (os.path.join(d, ".bloop") for d in _folders(root, self.FOLDER)) if os.path.isdir(f)]
+        if not folders:
+            return ""
+        found = json_files(spark, *folders).select("dir", "task", F.try_variant_get("json", "$.project.scala.version", "string").alias("v"))
+        first = found.where("v is not null").orderBy("dir", "task").first()
         return first["v"] if first else ""
 
 

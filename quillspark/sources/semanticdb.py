@@ -68,7 +68,7 @@ def failures(documents: DataFrame) -> int:
     return documents.where("error is not null").count()
 
 
-def binary_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all compiler output files below a folder, whatever the case of their ending."""
+def binary_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """(path, content) of all compiler output files below folders, whatever the case of their ending. Folders whose names begin with a dot are read only if given."""
     glob = "*.[sS][eE][mM][aA][nN][tT][iI][cC][dD][bB]"
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(list(roots)).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
