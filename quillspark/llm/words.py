@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes and documents that are taken together at most; a longer single text is a chunk of its own.
-CHUNK_BYTES, CHUNK_DOCS = 1 << 20, 1 << 10
+CHUNK_BYTES, CHUNK_DOCS = 1 << 19, 1 << 10
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
