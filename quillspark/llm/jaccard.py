@@ -368,7 +368,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
+    # few pairs meet the sets where they are read; then only one set of each pair moves
+    left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")).join(sent_if_few(pairs), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     overlap = F.size(F.array_intersect("x", "y"))
     return persist_table(both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b"), "links")
@@ -413,7 +414,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, p
     release(docs.sparkSession)
 
     label = persist_table(components(links), "labels")
-    joined = rows_of.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    joined = rows_of.join(sent_if_few(label.withColumnRenamed("node", "doc_id")), "doc_id", "left")
     rest = persist_table(_product(joined.select("gram", "doc_id", "size", "cap", "last", F.coalesce("component", "doc_id").alias("component")), percent), "product")
     drop_table(rows_of)
     pairs = rest.where("gram is null").groupBy("a", "size_a", "b", "size_b").agg(F.sum("overlap").alias("overlap"))
