@@ -1,14 +1,16 @@
-"""Benchmark decontamination by rare seeds and local alignment.
+"""Benchmark decontamination by word seeds and local alignment.
 
-Word n-grams of the test items are counted over all documents; each item's rarer half are its seeds. Where a document holds a
-seed, the item is aligned with the words around it (Smith-Waterman over words), so that edited copies score too. Both
-passes over the documents run where the documents are read: only the counts of the items' own n-grams are shuffled.
+An alignment that reaches the threshold keeps so many words of its item in so short a passage that, of any large enough
+part of the item's words, some must occur there close together. That part is made of the words that are rarest in the
+documents; where enough of them meet, and no bound excludes it, the item is aligned with the words around
+(Smith-Waterman over words). So no copy is missed, however its edits are spread. Both passes over the documents run
+where the documents are read: only the counts of the items' own words are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,73 +19,85 @@ from pyspark.sql import DataFrame, functions as F
 from . import words as W
 from .scratch import small_batches
 
-SEED_WORDS = 3
 #: Words; a shorter item would match anything and is not searched.
 LEAST_ITEM = 6
 MATCH, MISMATCH, GAP = 2, -1, 1
+#: Share of an item's words that must meet as seeds at least, and how many pairs of a word and an item are held at once.
+SEED_SHARE, PAIRS = 0.15, 1 << 20
 _FILTER_BITS = 20
 
 
 @dataclass
 class Items:
-    """Test items that one pass looks for. Word and gram hashes; ``grams`` is sorted."""
+    """Test items that one pass looks for, and their words as hashes; ``vocabulary`` is sorted."""
 
     ids: list
     words: list[np.ndarray]
-    grams: np.ndarray
-    owner: np.ndarray  # rows (gram, item, place), by gram
-    owner_first: np.ndarray
+    size: np.ndarray
+    vocabulary: np.ndarray
     maybe: np.ndarray
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    member: np.ndarray  # word of the vocabulary * items + item, ascending
+    times: np.ndarray  # how often the item has the word
 
     @classmethod
-    def read(cls, rows: list[tuple], n: int = SEED_WORDS) -> Items:
-        ids, taken, hashes, places = [], [], [], []
+    def read(cls, rows: list[tuple]) -> Items:
+        ids, taken = [], []
         for item, text in rows:
             for found in W.chunks(pa.array([text], pa.string()), W.PUNCTUATION, fold=True, chunk_bytes=1 << 30):
                 if len(found.hash) < LEAST_ITEM:
                     continue
-                h, _, where = W.grams(found, n, short=False)
-                hashes.append(h)
-                places.append(np.stack([np.full(len(h), len(ids)), where], axis=1))
                 ids.append(item)
                 taken.append(found.hash)
-        return cls._sorted(ids, taken, np.concatenate(hashes) if ids else np.zeros(0, np.uint64), np.concatenate(places) if ids else np.zeros((0, 2), np.int64))
+        size = np.array([len(x) for x in taken], np.int64)
+        vocabulary, word = np.unique(np.concatenate(taken) if ids else np.zeros(0, np.uint64), return_inverse=True)
+        member, times = np.unique(word * len(ids) + np.repeat(np.arange(len(ids)), size), return_counts=True)
+        maybe = np.zeros(1 << _FILTER_BITS, bool)
+        maybe[vocabulary >> np.uint64(64 - _FILTER_BITS)] = True
+        return cls(ids, taken, size, vocabulary, maybe, member, times)
+
+    def places(self, found: W.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Where a chunk has words of the items, and which."""
+        near = np.flatnonzero(self.maybe[found.hash >> np.uint64(64 - _FILTER_BITS)])
+        if not len(near) or not len(self.vocabulary):
+            return (np.zeros(0, np.int64),) * 2
+        at = np.minimum(np.searchsorted(self.vocabulary, found.hash[near]), len(self.vocabulary) - 1)
+        real = self.vocabulary[at] == found.hash[near]
+        return near[real], at[real]
+
+
+@dataclass
+class Seeds:
+    """The items with their seeds: ``owner[first[v]:first[v + 1]]`` are the items that word v of the vocabulary is a seed of."""
+
+    items: Items
+    least: np.ndarray  # share of its full score that counts, for each item
+    need: np.ndarray  # seeds that any such alignment holds
+    span: np.ndarray  # words of a document that it covers at most
+    owner: np.ndarray
+    first: np.ndarray
 
     @classmethod
-    def _sorted(cls, ids: list, taken: list, hashes: np.ndarray, places: np.ndarray) -> Items:
-        order = np.argsort(hashes, kind="stable")
-        grams, first = np.unique(hashes[order], return_index=True)
-        maybe = np.zeros(1 << _FILTER_BITS, bool)
-        maybe[grams >> np.uint64(64 - _FILTER_BITS)] = True
-        return cls(ids, taken, grams, places[order], np.append(first, len(hashes)), maybe)
-
-    def seeds(self, counts: np.ndarray) -> Items:
-        """Only each item's rarer half of n-grams, by the number of documents that hold them; ties by hash."""
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.owner_first))
-        keep = np.zeros(len(gram), bool)
-        for item in range(len(self.ids)):
-            own = np.flatnonzero(self.owner[:, 0] == item) if len(self.ids) < 64 else self._of(item)
-            distinct = np.unique(gram[own])
-            rare = distinct[np.lexsort((distinct, counts[distinct]))][: (len(distinct) + 1) // 2]
-            keep[own] = np.isin(gram[own], rare)
-        return self._sorted(self.ids, self.words, self.grams[gram[keep]], self.owner[keep])
-
-    def _of(self, item: int) -> np.ndarray:
-        if not hasattr(self, "_by_item"):
-            self._by_item = np.argsort(self.owner[:, 0], kind="stable")
-            self._item_first = np.searchsorted(self.owner[self._by_item, 0], np.arange(len(self.ids) + 1))
-        return self._by_item[self._item_first[item] : self._item_first[item + 1]]
-
-    def hits(self, found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gram, document, first word) of the items' n-grams in a chunk."""
-        h, doc, where = W.grams(found, SEED_WORDS, short=False)
-        near = np.flatnonzero(self.maybe[h >> np.uint64(64 - _FILTER_BITS)])
-        if not len(near) or not len(self.grams):
-            return (np.zeros(0, np.int64),) * 3
-        at = np.minimum(np.searchsorted(self.grams, h[near]), len(self.grams) - 1)
-        real = self.grams[at] == h[near]
-        return at[real], doc[near][real], where[near][real]
+    def choose(cls, items: Items, counts: np.ndarray, least: float) -> Seeds:
+        """Each item's rarest words, as many as make sure that some of them are left in every alignment.
+
+        A score of ``least`` leaves at most ``lost`` words of an item without a match, so of ``lost + k`` of them k are
+        matched, whichever they are: words that no document holds cost seeds, but hide nothing.
+        """
+        share = np.full(len(items.ids), least)
+        lost = items.size - np.ceil(share * items.size - 1e-9).astype(np.int64)
+        # a match gives MATCH and any other word of the passage costs at least GAP
+        span = items.size + np.floor(MATCH * (1 - share) * items.size / GAP + 1e-9).astype(np.int64)
+        target = np.minimum(items.size, lost + np.maximum(2, np.ceil(SEED_SHARE * items.size).astype(np.int64)))
+        word, item = np.divmod(items.member, max(1, len(items.ids)))
+        order = np.lexsort((word, counts[word], item))
+        word, item, times = word[order], item[order], items.times[order]
+        before = np.cumsum(times) - times
+        before -= np.repeat(before[np.searchsorted(item, np.arange(len(items.ids)))], np.bincount(item, minlength=len(items.ids))) if len(item) else 0
+        taken = before < target[item]
+        held = np.bincount(item[taken], weights=times[taken], minlength=len(items.ids)).astype(np.int64)
+        word, item = word[taken], item[taken]
+        order = np.argsort(word, kind="stable")
+        return cls(items, share, np.maximum(1, held - lost), span, item[order], np.searchsorted(word[order], np.arange(len(items.vocabulary) + 1)))
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,29 +126,64 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end_a, end_b
 
 
-def _matches(items: Items, found: W.Words, least: float) -> list[tuple[int, int, float, int, int]]:
-    """(document of the chunk, item, share of the item's full score, first word, end word) of all alignments that reach ``least``."""
-    gram, doc, where = items.hits(found)
-    if not len(gram):
-        return []
-    times = np.diff(items.owner_first)[gram]
-    at = np.repeat(items.owner_first[:-1][gram], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    item, place = items.owner[at].T
-    doc, where = np.repeat(doc, times), np.repeat(where, times)
-    size = np.array([len(x) for x in items.words])[item]
-    margin = np.maximum(8, size // 2)
-    begin = where - place - margin
-    # windows of one document and item that overlap are one
-    order = np.lexsort((begin, item, doc))
-    doc, item, begin, size, margin = doc[order], item[order], begin[order], size[order], margin[order]
-    end = begin + size + 2 * margin
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(doc)) - 1
-    d, t = doc[heads], item[heads]
-    lo = np.maximum(begin[heads], found.first[d])
-    hi = np.minimum(end[tails], found.first[d + 1])
+def _windows(seeds: Seeds, found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document of the chunk, item, first word, end word) of the passages that can hold an alignment."""
+    items = seeds.items
+    where, word = items.places(found)
+    of_word = np.full(len(found.hash), -1, np.int64)
+    of_word[where] = word
+    times = np.diff(seeds.first)[word]
+    where, word, times = where[times > 0], word[times > 0], times[times > 0]
+    doc = np.searchsorted(found.first, where, side="right") - 1
+    pairs = np.append(0, np.cumsum(times))
+    parts, start = [], 0
+    while start < len(where):
+        # whole documents
+        stop = max(start + 1, int(np.searchsorted(pairs, pairs[start] + PAIRS, side="right")) - 1)
+        head = int(np.searchsorted(doc, doc[min(stop, len(doc) - 1)]))
+        stop = len(doc) if stop >= len(doc) else head if head > start else int(np.searchsorted(doc, doc[start], side="right"))
+        n = times[start:stop]
+        at = np.repeat(seeds.first[word[start:stop]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.repeat(doc[start:stop], n) * len(items.ids) + seeds.owner[at]
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], np.repeat(where[start:stop], n)[order]
+        start = stop
+        item = key % len(items.ids)
+        last = np.arange(len(key)) + seeds.need[item] - 1
+        inside = np.minimum(last, len(key) - 1)
+        close = np.flatnonzero((last < len(key)) & (key[inside] == key) & (place[inside] - place < seeds.span[item]))
+        if not len(close):
+            continue
+        key, item, begin, end = key[close], item[close], place[inside[close]] + 1, place[close]
+        begin, end = begin - seeds.span[item], end + seeds.span[item]
+        # passages of one document and item that overlap are one
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (begin[1:] > end[:-1])
+        heads = np.flatnonzero(new)
+        d, t = np.divmod(key[heads], len(items.ids))
+        lo, hi = np.maximum(begin[heads], found.first[d]), np.minimum(end[np.append(heads[1:], len(key)) - 1], found.first[d + 1])
+        keep = _bound(items, of_word, t, lo, hi) >= MATCH * seeds.least[t] * items.size[t] - 1e-9
+        parts.append((d[keep], t[keep], lo[keep], hi[keep]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+
+
+def _bound(items: Items, of_word: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """No alignment within a passage scores more: its best run, where each word that the item has anywhere counts as matched."""
+    n = hi - lo
+    first = np.cumsum(n) - n
+    word = of_word[np.repeat(lo - first, n) + np.arange(n.sum())]
+    key = word * len(items.ids) + np.repeat(item, n)
+    has = (word >= 0) & (items.member[np.minimum(np.searchsorted(items.member, key), len(items.member) - 1)] == key)
+    gain = np.where(has, MATCH, -GAP)
+    # sums of later passages lie below those of earlier ones, so that the running minimum starts anew with each
+    total = np.cumsum(gain) - np.repeat(np.arange(len(n)), n) * (4 * MATCH * (len(gain) + 1))
+    return np.maximum.reduceat(total - np.minimum.accumulate(total - gain), first)
+
+
+def _matches(seeds: Seeds, found: W.Words) -> list[tuple[int, int, float, int, int]]:
+    """(document of the chunk, item, share of the item's full score, first word, end word) of all alignments that reach the item's least share."""
+    items = seeds.items
+    d, t, lo, hi = _windows(seeds, found)
     out = []
     order = np.argsort(hi - lo, kind="stable")
     step = 0
@@ -145,7 +194,7 @@ def _matches(items: Items, found: W.Words, least: float) -> list[tuple[int, int,
         a, b = [items.words[t[n]] for n in take], [found.hash[lo[n] : hi[n]] for n in take]
         score, end_a, end_b = align(a, b)
         share = score / np.array([MATCH * len(x) for x in a])
-        for n in np.flatnonzero(share >= least):
+        for n in np.flatnonzero(share >= seeds.least[t[take]]):
             # the same from behind gives where the alignment begins
             back, _, length = align([a[n][: end_a[n]][::-1]], [b[n][: end_b[n]][::-1]])
             stop = int(lo[take[n]] + end_b[n] - found.first[d[take[n]]])
@@ -166,26 +215,24 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = 8 << 20) -> Iterator[list
         yield sorted(map(tuple, part.collect()), key=lambda x: (str(x[0]), x[1]))
 
 
-def _rare(docs: DataFrame, items: Items) -> Items:
-    """Seeds of the items, with n-gram counts over the whole texts of all documents."""
+def _rare(docs: DataFrame, items: Items, least: float) -> Seeds:
+    """Seeds of the items, with word counts over the whole texts of all documents."""
 
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams), np.int64)
+        total = np.zeros(len(items.vocabulary), np.int64)
         for batch in batches:
             for found in W.chunks(batch.column(0), W.PUNCTUATION, fold=True):
-                gram, doc, _ = items.hits(found)
-                pairs = np.unique(doc * len(total) + gram)
-                total += np.bincount(pairs % max(1, len(total)), minlength=len(total))[: len(total)]
+                total += np.bincount(items.places(found)[1], minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["word", "n"])
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(items.grams), np.int64)
-    for gram, n in counted.collect():  # at most one row for each n-gram of the block's items
-        counts[gram] = n
-    return items.seeds(counts)
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = np.zeros(len(items.vocabulary), np.int64)
+    for word, n in counted.collect():  # at most one row for each word of the block's items
+        counts[word] = n
+    return Seeds.choose(items, counts, least)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
@@ -200,14 +247,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_byt
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     out = None
     for rows in blocks_of(benchmark, block_bytes):
-        seeds = _rare(docs, Items.read(rows))
+        seeds = _rare(docs, Items.read(rows), least)
 
-        def run(batches: Iterator[pa.RecordBatch], seeds: Items = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(c.row + x[0], *x[1:]) for c in W.chunks(batch.column(1), W.PUNCTUATION, fold=True) for x in _matches(seeds, c, least)]
+                found = [(c.row + x[0], *x[1:]) for c in W.chunks(batch.column(1), W.PUNCTUATION, fold=True) for x in _matches(seeds, c)]
                 at, item, score, start, end = zip(*found, strict=True) if found else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([seeds.ids[t] for t in item], pa.int64() if kinds[1] in ("bigint", "int") else None).cast(batch_type), pa.array(score, pa.float64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([seeds.items.ids[t] for t in item], pa.int64() if kinds[1] in ("bigint", "int") else None).cast(batch_type), pa.array(score, pa.float64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
                     names=["doc_id", "item_id", "score", "start_word", "end_word"],
                 )
 
@@ -223,13 +270,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, text: str =
     """The rows of docs, with all their columns, that hold no test item; see :func:`matches`."""
     at = docs.columns.index(text)
     for rows in blocks_of(benchmark, block_bytes):
-        seeds = _rare(docs.select(F.col(text).alias("text")), Items.read(rows))
+        seeds = _rare(docs.select(F.col(text).alias("text")), Items.read(rows), least)
 
-        def run(batches: Iterator[pa.RecordBatch], seeds: Items = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 for found in W.chunks(batch.column(at), W.PUNCTUATION, fold=True):
-                    for x in _matches(seeds, found, least):
+                    for x in _matches(seeds, found):
                         keep[found.row + x[0]] = False
                 yield batch if keep.all() else batch.filter(pa.array(keep))
 

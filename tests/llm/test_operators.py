@@ -411,6 +411,33 @@ def test_decontamination(spark):
     assert blocks == set(got)
 
 
+def test_decontamination_of_edited_copies(spark):
+    rng = np.random.default_rng(23)
+    items = [(k, prose(15 + k % 45, rng)) for k in range(60)]
+
+    def edited(text: str, share: float) -> str:
+        out = []
+        for w in text.split():
+            if rng.random() >= share:
+                out.append(w)
+            elif (kind := rng.integers(3)) < 2:  # replaced, or another word before it; else left out
+                out += [f"z{rng.integers(9999)}", *[w][kind ^ 1 :]]
+        return f"{prose(30, rng)} {' '.join(out)} {prose(30, rng)}"
+
+    # every fifth and every third word replaced, a word put before each; the exact copies make what edits leave the commoner half
+    docs = [(1, " ".join("z" if n % 5 == 4 else w for n, w in enumerate(items[25][1].split()))), (2, " ".join("z" if n % 3 == 2 else w for n, w in enumerate(items[30][1].split()))), (3, " ".join(f"z{n} {w}" for n, w in enumerate(items[44][1].split())))]
+    docs += [(100 + k, items[k][1]) for k in range(0, 60, 2)] + [(1000 + 10 * k + n, edited(t, share)) for k, t in items for n, share in enumerate((0.15, 0.2, 0.25, 0.3, 0.35, 0.4))]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    taken = [next(words.chunks(pa.array([t]), words.PUNCTUATION, fold=True)).hash for _, t in items]
+    want = {}
+    for doc, text in docs:
+        h = next(words.chunks(pa.array([text]), words.PUNCTUATION, fold=True)).hash
+        share = decontaminate.align(taken, [h] * len(items))[0] / [2 * len(x) for x in taken]
+        want |= {(doc, k): share[k] for k in np.flatnonzero(share >= 0.5)}
+    assert {(1, 25), (2, 30), (3, 44)} <= set(want) and len(want) > 250
+    assert got == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=9), st.lists(st.integers(1, 4), min_size=1, max_size=12))
 def test_alignment(a, b):
