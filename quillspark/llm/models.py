@@ -91,34 +91,39 @@ class Ordinal:
         return self.grades[0] + tails @ np.diff(self.grades) if len(self.grades) else np.zeros(len(tails))
 
 
+#: Size of a factor that is more than its random start.
+_GROWN = 0.1
+
+
 @dataclass
 class Factors:
     """Factorization machine: bias + x . weights + sum over feature pairs of (v_i . v_j) x_i x_j, as a probability.
 
-    Linear weights are fitted with an absolute penalty (follow the regularised leader), so that most are zero; only
-    features with a linear weight have factors. Without that the many pairs of neutral terms in a long text would
-    drown the few that matter.
+    Linear weights are fitted with an absolute penalty (follow the regularised leader), so that most are zero. A feature
+    has factors from when it first has a linear weight, and keeps them without one if they have grown by then. Without that the many
+    pairs of neutral terms in a long text would drown the few that matter.
     """
 
     bias: float
     weights: np.ndarray  # column 0: linear; the rest: factors
+    live: np.ndarray  # features that have weights or factors
 
     def __getstate__(self) -> tuple:
-        rows = np.flatnonzero(self.weights[:, 0])
+        rows = np.flatnonzero(self.live)
         return self.bias, self.weights.shape, rows, self.weights[rows]
 
     def __setstate__(self, state: tuple) -> None:
         self.bias, shape, rows, values = state
-        self.weights = np.zeros(shape, np.float32)
-        self.weights[rows] = values
+        self.weights, self.live = np.zeros(shape, np.float32), np.zeros(shape[0], bool)
+        self.weights[rows], self.live[rows] = values, True
 
     @classmethod
-    def fit(cls, x: Sparse, label: np.ndarray, bits: int, rank: int = 4, epochs: int = 8, rate: float = 0.5, penalty: float = 8.0, positive: float = 1.5, factor_rate: float = 0.005, factor_decay: float = 1e-2, seed: int = 11) -> Factors:
+    def fit(cls, x: Sparse, label: np.ndarray, bits: int, rank: int = 4, epochs: int = 8, rate: float = 0.5, penalty: float = 8.0, positive: float = 1.5, factor_rate: float = 0.02, factor_decay: float = 1e-2, seed: int = 11) -> Factors:
         # the penalty stands against gradients summed over documents: it is that of 12,000, and less for fewer
         penalty = max(2, penalty * min(1, len(label) / 12_000) ** 0.5)
         share = float(np.clip(label.mean() if len(label) else 0.5, 1e-3, 1 - 1e-3))
-        model = cls(float(np.log(share / (1 - share))), np.zeros((1 << bits, 1 + rank), np.float32))
-        model.weights[:, 1:] = np.random.default_rng(seed).normal(0, 0.05, (1 << bits, rank))
+        model = cls(float(np.log(share / (1 - share))), np.zeros((1 << bits, 1 + rank), np.float32), np.zeros(1 << bits, bool))
+        model.weights[:, 1:] = np.random.default_rng(seed).normal(0, 0.02, (1 << bits, rank))
         lead, squares = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32)
         move = _Adagrad(model.weights[:, 1:], factor_rate)
         for epoch in range(epochs if len(set(label.tolist())) > 1 else 0):
@@ -134,19 +139,20 @@ class Factors:
                 z = lead[touched] + gradient - (new - old) / rate * model.weights[touched, 0]
                 lead[touched] = z
                 model.weights[touched, 0] = np.where(np.abs(z) <= penalty, 0, -(z - np.sign(z) * penalty) * rate / (1 + new))
-                live = np.flatnonzero(model.weights[part.index, 0])
+                model.live[touched] = (model.weights[touched, 0] != 0) | model.live[touched] & (np.abs(model.weights[touched, 1:]).max(axis=1, initial=0) > _GROWN)
+                live = np.flatnonzero(model.live[part.index])
                 if len(live) and rank:
                     own = model.weights[part.index[live], 1:] * part.value[live, None]
                     flow = (pull[live, None] * (inner[doc[live]] - own)).astype(np.float32)
                     touched, gradient = _by_index(part.index[live], flow)
                     move.step(touched, gradient + factor_decay * move.weights[touched])
                 model.bias -= 0.005 * float(error.sum())
-        model.weights[model.weights[:, 0] == 0] = 0
+        model.weights[~model.live] = 0
         return model
 
     def _score(self, x: Sparse) -> tuple[np.ndarray, np.ndarray]:
         rank = self.weights.shape[1] - 1
-        live = np.flatnonzero(self.weights[x.index, 0])
+        live = np.flatnonzero(self.live[x.index])
         own = self.weights[x.index[live]] * x.value[live, None]
         sums = _sums(np.concatenate([own, own[:, 1:] ** 2], axis=1), np.searchsorted(live, x.first))
         inner = sums[:, 1 : 1 + rank]

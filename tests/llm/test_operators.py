@@ -226,6 +226,19 @@ def test_toxicity(spark, labelled):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_toxicity_of_pairs(spark):
+    rng = np.random.default_rng(29)
+    docs, labels = [], []
+    for k in range(6000):
+        a, b = (bool(x) for x in rng.random(2) < 0.5)  # either word alone says nothing
+        docs.append((k, " ".join([*rng.choice(VOCABULARY, int(rng.integers(12, 40))), *["kappa"] * a, *["lemur"] * b])))
+        labels.append((k, int(a == b)))
+    df = spark.createDataFrame(docs, DOCS)
+    rows = toxicity.score(df, toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    right = [r["predicted"] == labels[r["doc_id"]][1] for r in rows if r["held_out"]]
+    assert len(right) > 1000 and np.mean(right) > 0.95
+
+
 # 5
 
 
