@@ -144,25 +144,29 @@ def content(blocks: list[tuple[str, int, int, int, bool]], sigma: float = 1.0, f
     """The blocks of the content regions, in page order.
 
     A block belongs to content when its smoothed text-to-tag ratio reaches ``factor`` times the standard deviation of all
-    of them (half the highest, if that is less) and it is not mostly links. Where the page marks its articles, the chosen blocks
-    vote for theirs by length, and the article with most votes is kept as it is, short lines too; else the chosen
-    blocks are kept, and headings right before one.
+    of them (half the highest, if that is less) and it is not mostly links. Marks of articles are a hint: every article
+    with such a block whose own ratio reaches that too is kept as it is, short lines too. Chosen blocks outside, and headings right
+    before one, are kept where they hold at least half as much text as the chosen ones of the articles that are kept. If
+    nothing is chosen, all articles are kept.
     """
     if not blocks:
         return []
     ratio = np.array([(len(b[0]) - b[2]) / max(1, b[1]) for b in blocks], float)
     level = smooth(ratio, sigma)
-    chosen = (level >= min(factor * level.std(), 0.5 * level.max())) & np.array([2 * b[2] <= len(b[0]) for b in blocks])
-    votes: dict[int, int] = {}
-    for b, keep in zip(blocks, chosen, strict=True):
-        if b[3] >= 0:
-            votes[b[3]] = votes.get(b[3], 0) + (len(b[0]) if keep else 0)
-    if votes:
-        best = max(votes, key=lambda k: (votes[k], -k))
-        return [b[0] for b in blocks if b[3] == best]
+    least = min(factor * level.std(), 0.5 * level.max())
+    chosen = (level >= least) & np.array([2 * b[2] <= len(b[0]) for b in blocks])
+    where, length = np.array([b[3] for b in blocks]), np.array([len(b[0]) for b in blocks])
+    articles = np.unique(where[chosen & (ratio >= least) & (where >= 0)])
+    inside = np.isin(where, articles)
+    outside = chosen & (where < 0)
+    if 2 * length[outside].sum() < length[chosen & inside].sum():
+        outside[:] = False
     for k, b in enumerate(blocks[:-1]):
-        chosen[k] |= b[4] and chosen[k + 1] and 2 * b[2] <= len(b[0])
-    return [b[0] for b, keep in zip(blocks, chosen, strict=True) if keep]
+        outside[k] |= b[4] and b[3] < 0 and outside[k + 1] and 2 * b[2] <= len(b[0])
+    kept = inside | outside
+    if not kept.any():
+        kept = where >= 0
+    return [b[0] for b, keep in zip(blocks, kept, strict=True) if keep]
 
 
 def main_text(html: str | None) -> str:

@@ -479,6 +479,19 @@ def test_main_text():
     assert f("<article><p>a &am</article>") == "a &am"
 
 
+def test_regions_beside_articles():
+    f = html_text.main_text
+    para = "This is a sentence of the story that is long enough to be text. " * 3
+    story = "".join(f"<p>{k} {para}</p>" for k in range(6))
+    lines = [f"{k} {para}".strip() for k in range(6)]
+    # a story in a plain element beside a marked teaser
+    assert set(lines) <= set(f(f"<div><h2>Title</h2>{story}</div><article><p>Teaser</p></article>").split("\n"))
+    # a story over several articles
+    assert f("".join(f"<article>{p}</article>" for p in story.split("<p>")[1:])).split("\n") == lines
+    # little beside a long article stays out
+    assert f(f"<article>{story}</article><div><p>Some line of little text</p></div>").split("\n") == lines
+
+
 def test_extract(spark):
     df = frame(spark, [(1, "u", "<article><p>é x</p></article>"), (1, "u", None), (None, None, "<p>")], "page_id long, url string, html string")
     assert sorted(map(str, (tuple(r) for r in html_text.extract(df).collect()))) == sorted(map(str, [(1, "u", "é x", 3), (1, "u", "", 0), (None, None, "", 0)]))
