@@ -82,6 +82,11 @@ def refs_locations(x: Index) -> DataFrame:
     return lines.withColumn("lines", F.concat_ws(",", F.col("lines").cast("array<string>")))
 
 
+@_query(f"SELECT symbol_id, module_id, file_id, array_to_string(lines, ',') AS lines FROM ({_LINES})", "refs", "files")
+def refs_locations_all(x: Index) -> DataFrame:
+    return R.reference_lines(x.refs, x.files).withColumn("lines", F.concat_ws(",", F.col("lines").cast("array<string>")))
+
+
 @_query(f"SELECT symbol_id, module_id, file_id FROM ({_LINES}) WHERE symbol_id = 7 ORDER BY module_id, file_id LIMIT 100", "refs", "files")
 def refs_first_files(x: Index) -> DataFrame:
     return R.reference_lines(x.refs.where("symbol_id = 7"), x.files).orderBy("module_id", "file_id").limit(100).select("symbol_id", "module_id", "file_id")
@@ -213,6 +218,11 @@ def trigram_postings(x: Index) -> DataFrame:
     return types.select(F.explode(T.trigrams("name")).alias("tri")).groupBy("tri").agg(F.count("*").alias("n"))
 
 
+@_query("SELECT tri, count(*) AS n FROM (SELECT symbol_id, unnest(list_distinct([substr(lower(name), i, 3) for i in range(1, length(name) - 1)])) AS tri FROM v_symbols) GROUP BY tri", "symbols")
+def trigram_postings_all(x: Index) -> DataFrame:
+    return x.symbols.select(F.explode(T.trigrams("name")).alias("tri")).groupBy("tri").agg(F.count("*").alias("n"))
+
+
 @_query(f"SELECT m.symbol_id FROM v_symbols o JOIN v_symbols m ON m.owner_id = o.symbol_id WHERE {_FOLD.format('o.name')} = 'orderstore0' AND {_FOLD.format('m.name')} = 'get'", "symbols")
 def search_owner_member(x: Index) -> DataFrame:
     return S.Resolver(x).owner_member("OrderStore0.get").select("symbol_id")
@@ -376,6 +386,11 @@ def camel_segments(x: Index) -> DataFrame:
     return x.symbols.where(F.col("symbol_id") < MEMBERS_FROM).select("name", F.concat_ws(" ", T.camel_segments("name")).alias("parts")).distinct()
 
 
+@_query("SELECT DISTINCT name, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '([^0-9_])([0-9])', '\\1_\\2', 'g'), '_'), lambda x: x <> ''), lambda x: lower(x)), ' ') AS parts FROM v_symbols", "symbols")
+def camel_segments_all(x: Index) -> DataFrame:
+    return x.symbols.select("name", F.concat_ws(" ", T.camel_segments("name")).alias("parts")).distinct()
+
+
 @_query("SELECT DISTINCT name, CASE WHEN strlen(name) <= 2 THEN 0 ELSE least(strlen(name) // 3, 5) END::INTEGER AS most FROM v_symbols", "symbols")
 def fuzzy_thresholds(x: Index) -> DataFrame:
     return x.symbols.select("name", T.fuzzy_threshold(F.octet_length("name")).alias("most")).distinct()
@@ -386,6 +401,11 @@ def name_hash_buckets(x: Index) -> DataFrame:
     return x.symbols.where(F.col("symbol_id") < MEMBERS_FROM).select("name", T.name_hash("name", 1024).alias("bucket")).distinct()
 
 
+@_query("SELECT name, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(name, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (a * 31 + b) % 4294967296) % 1024 AS BIGINT) AS bucket FROM (SELECT DISTINCT name FROM v_symbols)", "symbols")
+def name_hash_buckets_all(x: Index) -> DataFrame:
+    return x.symbols.select("name", T.name_hash("name", 1024).alias("bucket")).distinct()
+
+
 # Relations of symbols
 
 
@@ -512,6 +532,17 @@ _QUERIES["shared_source_division"] = _division
 _SQL["shared_source_division"] = """WITH m AS (SELECT DISTINCT l_suppkey AS made, l_partkey % 11 AS name FROM lineitem WHERE l_suppkey < 4), h AS (SELECT DISTINCT l_suppkey AS held, l_partkey % 13 AS name FROM lineitem WHERE l_suppkey BETWEEN 4 AND 9 AND l_quantity < 24)
 SELECT a.made, b.held FROM (SELECT DISTINCT made FROM m) a CROSS JOIN (SELECT DISTINCT held FROM h) b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.made = a.made AND NOT EXISTS (SELECT 1 FROM h WHERE h.held = b.held AND h.name = m.name))"""
 
+def _division_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.metadata import divided
+
+    lines = Views(spark, sf_dir)["lineitem"]
+    return divided(lines.select(F.col("l_suppkey").alias("made"), (F.col("l_partkey") % 11).cast("string").alias("name")), lines.select(F.col("l_suppkey").alias("held"), (F.col("l_partkey") % 13).cast("string").alias("name")))
+
+
+_QUERIES["shared_source_division_all"] = _division_of_all
+_SQL["shared_source_division_all"] = """WITH m AS (SELECT DISTINCT l_suppkey AS made, l_partkey % 11 AS name FROM lineitem), h AS (SELECT DISTINCT l_suppkey AS held, l_partkey % 13 AS name FROM lineitem)
+SELECT a.made, b.held FROM (SELECT DISTINCT made FROM m) a CROSS JOIN (SELECT DISTINCT held FROM h) b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.made = a.made AND NOT EXISTS (SELECT 1 FROM h WHERE h.held = b.held AND h.name = m.name))"""
+
 _QUERIES["source_lines"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "code")).where("line BETWEEN 2 AND 4").select("doc_id", "line", "code")
 _SQL["source_lines"] = "SELECT doc_id, line, code FROM (SELECT doc_id, unnest(range(len(s)))::INTEGER AS line, unnest(s) AS code FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE line BETWEEN 2 AND 4"
 

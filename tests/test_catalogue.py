@@ -40,6 +40,12 @@ def test_query(spark, db, name):
         assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["refs_locations", "trigram_postings", "camel_segments", "name_hash_buckets", "shared_source_division"])
+def test_query_over_all(spark, name):
+    some, every = (set(map(tuple, catalogue.queries()[q](spark, SF).drop("n").collect())) for q in (name, f"{name}_all"))
+    assert len(every) > len(some)
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__ as entry
 
