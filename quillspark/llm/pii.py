@@ -173,14 +173,15 @@ def date_local(key: bytes, m: re.Match) -> str | None:
 
 
 def secret(key: bytes, m: re.Match) -> str | None:
-    return m["name"] + _symbols(key, "secret", m["value"])
+    value = m["value"]  # of any length, so in parts
+    return m["name"] + "".join(_symbols(key, "secret", value[k : k + 128]) for k in range(0, len(value), 128))
 
 
 #: Kind, pattern, pseudonym; of overlapping finds the first kind counts.
 KINDS: list[tuple[str, str, Callable[[bytes, re.Match], str | None]]] = [
     ("email", r"(?<![\w.+%-])(?P<local>[A-Za-z0-9](?:[\w.+%'-]{0,62}[\w+%-])?)@(?P<domain>(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w-])", email),
     ("secret", r"(?<![A-Za-z0-9])(?P<name>(?:AKIA|ASIA))(?P<value>[A-Z0-9]{16})(?![A-Za-z0-9])", secret),
-    ("secret", r"(?P<name>(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9_./+-]{8,128})", secret),
+    ("secret", r"(?P<name>(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9_./+-]{8,})", secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])(?!\.\d)", card),
     ("ssn", r"(?<![\w-])(\d{3})-(\d{2})-(\d{4})(?![\w-])", ssn),
@@ -227,8 +228,8 @@ def protect(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
-            # every kind needs a digit, an @ or a named secret; most texts have none and pass as they are
-            maybe = pc.fill_null(pc.match_substring_regex(column, r"[0-9@]|(?i:passw|secret|token|api[_-]?key)"), False)
+            # every kind needs a digit, an @, a key prefix or a named secret; most texts have none and pass as they are
+            maybe = pc.fill_null(pc.match_substring_regex(column, r"[0-9@]|AKIA|ASIA|(?i:passw|secret|token|api[_-]?key)"), False)
             texts, spans = column, [[]] * len(batch)
             if pc.any(maybe).as_py():
                 out = column.to_pylist()
