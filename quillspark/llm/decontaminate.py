@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import words as W
 from .scratch import small_batches
 
-#: Words; a shorter item would match anything and is not searched.
+#: Words; a shorter item must occur whole and unchanged.
 LEAST_ITEM = 6
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Share of an item's words that must meet as seeds at least, and how many pairs of a word and an item are held at once.
@@ -44,7 +44,7 @@ class Items:
         ids, taken = [], []
         for item, text in rows:
             for found in W.chunks(pa.array([text], pa.string()), W.PUNCTUATION, fold=True, chunk_bytes=1 << 30):
-                if len(found.hash) < LEAST_ITEM:
+                if not len(found.hash):
                     continue
                 ids.append(item)
                 taken.append(found.hash)
@@ -83,7 +83,7 @@ class Seeds:
         A score of ``least`` leaves at most ``lost`` words of an item without a match, so of ``lost + k`` of them k are
         matched, whichever they are: words that no document holds cost seeds, but hide nothing.
         """
-        share = np.full(len(items.ids), least)
+        share = np.where(items.size < LEAST_ITEM, 1.0, least)
         lost = items.size - np.ceil(share * items.size - 1e-9).astype(np.int64)
         # a match gives MATCH and any other word of the passage costs at least GAP
         span = items.size + np.floor(MATCH * (1 - share) * items.size / GAP + 1e-9).astype(np.int64)
@@ -239,7 +239,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_byt
     """doc_id, item_id, score (share of the item's full alignment score), start_word and end_word of every contaminated document and item.
 
     docs: doc_id and text; benchmark: item_id and text. Words are runs without white space and ASCII punctuation, A-Z
-    folded. Null texts and ids of items, and items of fewer than 6 words, are not searched; null and empty document texts match nothing. A document with
+    folded. Null and empty texts and null ids of items are not searched; items of fewer than 6 words match only whole and unchanged. Null and empty document texts match nothing. A document with
     several alignments for an item gives the best, the first of equals. Repeated rows of documents give repeated rows;
     repeated items count once. Other columns are not read.
     """

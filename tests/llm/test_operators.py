@@ -432,6 +432,13 @@ def test_decontamination(spark):
     assert blocks == set(got)
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(1, "What is osmium?"), (2, "zeta"), (3, "one two three four five"), (4, "!")]
+    docs = [(1, f"{prose(9)} what is OSMIUM {prose(9)}"), (2, "what osmium is"), (3, "eta zeta"), (4, "one two three z four five"), (5, "0 one two three four five"), (6, "what is")]
+    got = {(r["doc_id"], r["item_id"], r["start_word"], r["end_word"]) for r in decontaminate.matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 9, 12), (3, 2, 1, 2), (5, 3, 1, 6)}
+
+
 def test_decontamination_of_edited_copies(spark):
     rng = np.random.default_rng(23)
     items = [(k, prose(15 + k % 45, rng)) for k in range(60)]
