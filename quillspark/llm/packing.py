@@ -20,6 +20,8 @@ from .scratch import persist_table, small_batches
 
 #: Token that ends every document.
 END_ID = 2
+#: Widths of the fields of a sequence id: partition, packed group of that partition, sequence of that group.
+PARTITION_BITS, GROUP_BITS, SEQUENCE_BITS = 21, 21, 21
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, bin_offset long, bin_length long"
 _TOKENIZERS: dict = {}
 
@@ -94,14 +96,24 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] * bool(head) + [(s, capacity) for s in starts]
 
 
-def _packed(ids: list, sizes: list, origin: int, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence id, offset and sequence length of each item. Ids: ``origin`` in the high bits, then a counter."""
+def sequence_ids(partition: int, group: int) -> int:
+    """The first id of a packed group: fields of fixed width for partition, group and sequence, each checked."""
+    if partition >> PARTITION_BITS or group >> GROUP_BITS:
+        raise OverflowError(f"no sequence ids for group {group} of partition {partition}: use smaller partitions or larger groups")
+    return ((partition << GROUP_BITS) | group) << SEQUENCE_BITS
+
+
+def _packed(sizes: list, first_id: int, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence id, offset and sequence length of each item. Ids count on from ``first_id``."""
     lengths = np.array(sizes, np.int64)
     bin_id, offset, total = (np.zeros(len(lengths), np.int64) for _ in range(3))
-    for k, members in enumerate(best_fit(lengths, capacity)):
+    bins = best_fit(lengths, capacity)
+    if len(bins) >> SEQUENCE_BITS:
+        raise OverflowError(f"{len(bins)} sequences in one group: use smaller groups")
+    for k, members in enumerate(bins):
         own = lengths[members]
         ends = np.cumsum(own)
-        bin_id[members] = (origin << 32) | k
+        bin_id[members] = first_id + k
         offset[members] = ends - own
         total[members] = ends[-1]
     return bin_id, offset, total
@@ -122,7 +134,8 @@ def pack(
     docs: doc_id and text (null: empty); other columns are not read. A document is its ids and ``end_id``; only one
     longer than ``capacity`` is cut, its first piece takes what is left over. Rows with equal or null doc_id are
     documents of their own. An empty table gives no rows. Ties in length go by order of the rows in the partition.
-    ``group_rows`` bounds what one task packs in a round; ``fan_in`` is how many groups a round brings together.
+    ``group_rows`` bounds what one task packs in a round (a group ends with the batch that fills it, at eight times as many in
+    any case); ``fan_in`` is how many groups a round brings together. Raises OverflowError where ids would run out, rather than use one twice.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -130,18 +143,18 @@ def pack(
         from pyspark import TaskContext
 
         encode = _tokenizer(tokenizer_path, ranks_path, pattern)
-        origin = TaskContext.get().partitionId() << 8  # the low bits count this task's packed groups
+        partition, group = TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32)
         doc, piece, start, length, crc = [], [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal origin, doc, piece, start, length, crc
+            nonlocal group, doc, piece, start, length, crc
             if doc:
-                placed = _packed(doc, length, origin, capacity)
+                placed = _packed(length, sequence_ids(partition, group), capacity)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 columns = [pa.array(v, k) for v, k in zip((doc, piece, start, length, crc, *placed), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PIECES.split(", ")])
-                origin += 1
+                group += 1
                 doc, piece, start, length, crc = [], [], [], [], []
 
         for batch in batches:
@@ -153,6 +166,8 @@ def pack(
                     start.append(s)
                     length.append(n)
                     crc.append(zlib.crc32(ids[s : s + n].astype("<u4").tobytes()))
+                if len(doc) >= 8 * group_rows:  # long documents
+                    yield from flush()
             if len(doc) >= group_rows:
                 yield from flush()
         yield from flush()
@@ -197,7 +212,7 @@ def _merge_underfull(pieces: DataFrame, capacity: int, group_rows: int, fan_in:
 def _round(tops: DataFrame, k: int, groups: int, capacity: int) -> DataFrame:
     def again(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("top", "ascending")])
-        new, add, total = _packed(table["top"].to_pylist(), table["size"].to_pylist(), 0, capacity)
+        new, add, total = _packed(table["size"].to_pylist(), 0, capacity)
         # the new id is that of the first member: unique, and the same when a task runs again
         first = {int(b): int(t) for b, t, o in zip(new, table["top"].to_pylist(), add, strict=True) if o == 0}
         named = [first[int(b)] for b in new]

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 
@@ -277,6 +278,49 @@ def test_packing(spark):
     assert packing.pack(frame(spark, rows).limit(0), json_path, ranks, pattern).count() == 0
 
 
+def test_packing_of_many_groups(spark, monkeypatch):
+    json_path, ranks, pattern = queries.tokenizer_files()
+    df = spark.createDataFrame([(k, "a b" if k % 3 else "") for k in range(1200)], DOCS).repartition(2)
+    monkeypatch.setattr(packing, "small_batches", lambda spark: None)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "2")
+    got = packing.pack(df, json_path, ranks, pattern, capacity=4, group_rows=2, fan_in=1000).collect()
+    spark.conf.set(batch, before)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(got) == 1200 and all(sum(n for _, n in parts) <= 4 for parts in by.values())
+    assert all(sorted(o for o, _ in parts) == sorted(np.cumsum([0, *(n for _, n in sorted(parts))][:-1]).tolist()) for parts in by.values())
+    firsts = {packing.sequence_ids(p, g) for p in (0, 1, 2**21 - 1) for g in (0, 1, 256, 257, 2**21 - 1)}
+    assert len(firsts) == 15 and min(abs(a - b) for a, b in itertools.combinations(firsts, 2)) >= 2**21 and max(firsts) <= 2**63 - 2**21
+    for partition, group in ((2**21, 0), (0, 2**21)):
+        with pytest.raises(OverflowError):
+            packing.sequence_ids(partition, group)
+
+
+def test_packing_of_the_test_tables(spark):
+    """Every row of the query against the tokenizer file, in all languages of the table."""
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test tables")
+    tok = Tokenizer.from_file(queries.tokenizer_files()[0])
+    want = []
+    for row in queries.table(spark, folder, "documents").select("doc_id", "text").collect():
+        ids = [*tok.encode(row["text"] or "", add_special_tokens=False).ids, 2]
+        head = len(ids) % 1024 if len(ids) > 1024 else len(ids)
+        edges = sorted({0, *range(head, len(ids), 1024), len(ids)})
+        want += [(row["doc_id"], p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(itertools.pairwise(edges))]
+    got = queries.op5_best_fit_packing(spark, folder).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(p)] == [0, *np.cumsum([n for _, n in sorted(p)])[:-1].tolist()] and sum(n for _, n in p) <= 1024 for p in by.values())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit(sizes):
