@@ -13,17 +13,24 @@ from .scratch import small_batches
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, featurise: Callable[[pa.Array], Sparse], limit: int, use: Column | None = None) -> tuple[Sparse, np.ndarray]:
-    """Features and labels of at most ``limit`` documents, the first by a hash of doc_id.
+    """Features and labels of at most ``limit`` documents, the first by a hash of doc_id among those that have a label.
 
-    labels: doc_id and ``label``; rows without either are left out, and of several labels of a doc_id the largest counts.
+    labels: doc_id and ``label``; rows without either are left out, as are those whose document is absent, and of several labels
+    of a doc_id the largest counts. Of several documents with one doc_id the least text counts (null as empty).
     ``use`` says which rows of labels may be learnt from. The rows are sorted, so equal inputs give equal models.
     """
     small_batches(docs.sparkSession)
     rows = labels.select("doc_id", F.col(label).cast("double").alias("_label")).where(F.col("doc_id").isNotNull() & F.col("_label").isNotNull())
     rows = rows.where(use) if use is not None else rows
+    marked = rows.groupBy("doc_id").agg(F.max("_label").alias("_label"))
+    # labels of absent documents must not use up the bound, so ids meet first; of the documents only ids move for that
+    present = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     # at most ``limit`` pairs, so they may go to every task
-    chosen = rows.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "_text").alias("_order"), "_text", "_label")
+    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
+    # a repeated doc_id is one document; partial aggregation keeps one text of each in every task
+    one = texts.groupBy("doc_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
+    joined = one.select(F.xxhash64("doc_id", "_text").alias("_order"), "_text", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

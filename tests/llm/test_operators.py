@@ -13,6 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.llm import components, decontaminate, features, html_text, jaccard, models, packing, pii, quality, queries, substrings, topk, toxicity, urls, words
+from quillspark.llm import labelled as labelled_rows
 
 RNG = np.random.default_rng(7)
 VOCABULARY = [f"w{k}" for k in range(400)]
@@ -220,6 +221,40 @@ def test_quality(spark, labelled):
     assert quality.score(df.limit(0), m).count() == 0
 
 
+def test_sample_is_bounded(spark):
+    featurise = lambda column: features.terms(column, 10)
+    docs = frame(spark, [(7, f"word{k % 3}") for k in range(3000)] + [(k, f"x{k}") for k in range(10, 20)])
+    repeated = spark.createDataFrame([(7, 1), (7, 0), (None, 1)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    x, marked = labelled_rows.sample(docs, repeated, "toxic", featurise, 5)
+    assert marked.tolist() == [1.0] and len(x.first) == 2
+    assert x.index.tolist() == featurise(pa.array(["word0"])).index.tolist()
+    absent = spark.createDataFrame([(k, 1) for k in range(10, 2000)], "doc_id long, toxic int")
+    x, marked = labelled_rows.sample(docs, absent, "toxic", featurise, 5)
+    assert len(marked) == 5 and len(x.first) == 6
+    assert len(labelled_rows.sample(docs, absent, "toxic", featurise, 50)[1]) == 10
+    assert len(labelled_rows.sample(docs, absent.limit(0), "toxic", featurise, 5)[1]) == 0
+
+
+def test_models_by_plain_sums():
+    """Scores of both models against sums written out term by term and pair by pair."""
+    rng = np.random.default_rng(31)
+    x = features.terms(pa.array([prose(int(n), rng) for n in rng.integers(0, 25, 40)]), 8)
+    x.value[:] = rng.normal(1, 0.3, len(x.value))
+    m = models.Factors(0.3, rng.normal(0, 0.2, (256, 5)).astype(np.float32), np.ones(256, bool))
+    steps = models.Ordinal(rng.normal(0, 0.5, 256).astype(np.float32), np.array([-1.0, 0.2, 0.9]), np.array([1.0, 2.0, 4.0, 8.0]))
+    got, tails = m.score(x), steps.tails(x)
+    grades = steps.expected(tails)
+    for d in range(40):
+        own = [(int(i), float(v)) for i, v in zip(x.index[x.first[d] : x.first[d + 1]], x.value[x.first[d] : x.first[d + 1]], strict=True)]
+        total = 0.3 + sum(m.weights[i, 0] * v for i, v in own)
+        total += sum(float(m.weights[i, 1:].astype(float) @ m.weights[j, 1:].astype(float)) * v * w for (i, v), (j, w) in itertools.combinations(own, 2))
+        assert abs(got[d] - 1 / (1 + np.exp(-total))) < 1e-5
+        linear = sum(steps.weights[i] * v for i, v in own)
+        at_least = [1 / (1 + np.exp(cut - linear)) for cut in steps.cuts]
+        share = [a - b for a, b in itertools.pairwise([1.0, *at_least, 0.0])]
+        assert np.allclose(tails[d], at_least, atol=1e-5) and abs(grades[d] - sum(g * p for g, p in zip(steps.grades, share, strict=True))) < 1e-4
+
+
 def test_toxicity(spark, labelled):
     docs, labels = labelled
     df = frame(spark, docs + ODD)
