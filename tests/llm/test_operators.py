@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -164,6 +165,15 @@ def test_urls(spark, monkeypatch, shuffled):
     assert urls.judge(df, spark.createDataFrame([], "host string, path string, verdict string")).where("rule is not null or verdict <> 'allow'").count() == 0
 
 
+def test_long_urls(spark):
+    deep = "a." * 50_000
+    rows = [(1, f"http://{deep}com/en/{'x' * 50_000}"), (2, f"http://{deep}org/"), (3, "http://" + "." * 20_000 + "com/en/"), (4, f"http://com.{deep}/en/")]
+    began = time.time()
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["host"])) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")).collect()}
+    assert got == {1: ("com/en/", "block", 100_003), 2: (None, "allow", 100_003), 3: ("com/en/", "block", 20_003), 4: (None, "allow", 100_004)}
+    assert time.time() - began < 20
+
+
 # 4 and 10
 
 
