@@ -11,6 +11,7 @@ import datetime
 import hashlib
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -86,11 +87,38 @@ def card(key: bytes, m: re.Match) -> str | None:
     return _refill(m[0], body + str(luhn(body)))
 
 
+#: Country calling codes of one and two digits (ITU-T E.164); all others have three. Fixed values.
+_CODES_1 = frozenset(("1", "7"))
+_CODES_2 = frozenset(
+    ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58")
+    + ("60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+)
+
+
+def calling_code(digits: str) -> str:
+    """The country code that an international number begins with; it follows from the digits, however they are spaced."""
+    return next((digits[:n] for n, codes in ((1, _CODES_1), (2, _CODES_2)) if digits[:n] in codes), digits[:3])
+
+
+def _regular(code: str, national: str) -> bool:
+    """Whether area and exchange of a number of the North American plan begin as they must."""
+    return code == "1" and len(national) == 10 and national[0] in "23456789" and national[3] in "23456789"
+
+
 def phone(key: bytes, m: re.Match) -> str | None:
-    digits = _only_digits(m["national"])
-    if not 7 <= len(digits) <= 12:
+    """Numbers are told apart by country code and national digits alone, so all spellings of one share a pseudonym.
+
+    Without a country code a number of ten digits is taken for one of the North American plan.
+    """
+    digits = _only_digits(m[0])
+    code = calling_code(digits) if m["country"] else "1"
+    national = digits[len(code) :] if m["country"] else digits
+    if not 7 <= len(national) <= 12:
         return None
-    return m["country"] + _refill(m["national"], _digits(key, "phone" + _only_digits(m["country"]), digits))
+    out = _digits(key, "phone" + code, national)
+    while _regular(code, out) != _regular(code, national):  # a regular number stays one
+        out = _digits(key, "phone" + code, out)
+    return _refill(m[0], (code if m["country"] else "") + out)
 
 
 def ssn(key: bytes, m: re.Match) -> str | None:
@@ -98,7 +126,7 @@ def ssn(key: bytes, m: re.Match) -> str | None:
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     rank = area - 1 - (area > 666)
-    at = permute(key, "ssn", (rank * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999)
+    at = moved(key, "ssn", (rank * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999)
     at, serial = divmod(at, 9999)
     rank, group = divmod(at, 99)
     return f"{rank + 1 + (rank >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
@@ -108,7 +136,7 @@ def ipv4(key: bytes, m: re.Match) -> str | None:
     parts = [int(x) for x in m[0].split(".")]
     if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in m[0].split(".")):
         return None
-    out = permute(key, "ipv4", int.from_bytes(bytes(parts), "big"), 1 << 32)
+    out = moved(key, "ipv4", int.from_bytes(bytes(parts), "big"), 1 << 32)
     return ".".join(map(str, out.to_bytes(4, "big")))
 
 
@@ -188,8 +216,8 @@ KINDS: list[tuple[str, str, Callable[[bytes, re.Match], str | None]]] = [
     ("date", r"(?<![\w./-])((?:19|20)\d\d)([-/.])(\d\d)\2(\d\d)(?![\w/-])(?!\.\d)", date_iso),
     ("date", r"(?<![\w./-])(\d\d?)([-/.])(\d\d?)\2((?:19|20)\d\d)(?![\w/-])(?!\.\d)", date_local),
     ("ip", r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-])(?!\.\d)", ipv4),
-    ("phone", r"(?<![\w+])(?P<country>\+\d{1,3}[ .-]?)(?P<national>\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4})(?![\w-])", phone),
-    ("phone", r"(?<![\w+(.-])(?P<country>)(?P<national>(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])", phone),
+    ("phone", r"(?<![\w+])(?P<country>\+)\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}(?![\w-])", phone),
+    ("phone", r"(?<![\w+(.-])(?P<country>)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])", phone),
 ]
 _COMPILED = [(kind, re.compile(pattern, re.ASCII), make) for kind, pattern, make in KINDS]
 
@@ -197,16 +225,19 @@ _COMPILED = [(kind, re.compile(pattern, re.ASCII), make) for kind, pattern, make
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each value in the original, in order."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of what earlier kinds took, in order; no two overlap
     for kind, pattern, make in _COMPILED:
+        new = []
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            k = bisect_left(starts, m.end())
+            if k and found[k - 1][1] > m.start():
                 continue
             out = make(key, m)
             if out is not None:
-                found.append((m.start(), m.end(), kind, out))
-        taken = [(a, b) for a, b, _, _ in found]
-    found.sort()
+                new.append((m.start(), m.end(), kind, out))
+        if new:
+            found = sorted(found + new)
+            starts = [x[0] for x in found]
     parts, at = [], 0
     for a, b, _, out in found:
         parts += [text[at:a], out]
@@ -214,14 +245,14 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     return "".join([*parts, text[at:]]), [(kind, a, b) for a, b, kind, _ in found]
 
 
-def protect(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """All columns of docs with ``text`` pseudonymised, and ``pii``: array of (kind, start, end) in the original text.
+def protect(docs: DataFrame, key: bytes, text: str = "text", finds: str = "pii") -> DataFrame:
+    """All columns of docs with ``text`` pseudonymised, and a last column ``finds``: array of (kind, start, end) in the original text.
 
     Null texts stay null, with no finds. Rows are taken one by one, whole texts: repeated rows give the same result. A
-    column of docs that is called pii is replaced.
+    column of docs that is called as ``finds`` says is replaced; pass another name to keep it.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("pii")
+    docs = docs.drop(finds)
     at = docs.columns.index(text)
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -239,7 +270,7 @@ def protect(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
                 texts = pa.array(out, column.type)
             columns = [*batch.columns, pa.array(spans, kinds)]
             columns[at] = texts
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "pii"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, finds])
 
-    schema = docs.withColumn("pii", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema
+    schema = docs.withColumn(finds, F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema
     return docs.mapInArrow(run, schema)
