@@ -63,30 +63,54 @@ def test_words(texts, chunk):
 
 
 def brute_top(rows, queries_of, k=5):
-    own = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            own[i] = min(own.get(i, tuple(v)), tuple(v))
-    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in own.items()}
+    q = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for a in q:
+    for n, (a, v) in enumerate(q):
         if queries_of(a):
-            best = sorted((-sum(x * y for x, y in zip(q[a], q[b], strict=True)), b) for b in q if b != a and len(q[b]) == len(q[a]))[:k]
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), b) for m, (b, w) in enumerate(q) if m != n and len(v) == len(w))[:k]
             out += [(a, r, b, -s) for r, (s, b) in enumerate(best, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 60])
-def test_top_k(spark, shard_rows):
+def top_rows():
     rows = [(k, [float(x) for x in RNG.normal(0, 0.2, 8)]) for k in range(400)]
     rows += [(500 + k, [0.5] * 8) for k in range(40)] + [(600, None), (601, [1.0, None] * 4), (602, [float("nan")] * 8), (603, [float("inf")] * 8), (None, [0.1] * 8), (604, [0.1, 0.2]), (650, [0.3, 0.2]), (605, []), (700, [])]
-    rows += [(10, [9.0] * 8), (10, rows[10][1]), (800, [1e9] * 8), (801, [-3e9] * 8)]
+    # repeated ids: with other vectors, and equal rows, also among the queries
+    rows += [(10, [9.0] * 8), (10, rows[10][1]), (800, [1e9] * 8), (801, [-3e9] * 8), (7, [0.1] * 8), (7, [9.0] * 8), *[(13, [8.0] * 8)] * 9, *[(20, [7.0] * 8)] * 3, (20, [-7.0] * 8)]
+    return rows
+
+
+@pytest.mark.parametrize("shard_rows, block_rows", [(10_000, 16), (60, 16), (7, 5)])
+def test_top_k(spark, shard_rows, block_rows):
+    rows = top_rows()
     df = frame(spark, rows, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, F.col("vec_id") % 10 == 0, shard_rows=shard_rows, block_rows=16)
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, shard_rows=shard_rows, block_rows=block_rows)
     assert sorted(map(tuple, got.collect())) == [(a, r, b, max(min(s, 2**63 - 1), -(2**63))) for a, r, b, s in brute_top(rows, lambda i: i % 10 == 0)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_repeated_ids_against_sql(spark):
+    import duckdb
+
+    rows = [(i, v) for i, v in top_rows() if i not in (800, 801, 604, 650, 605, 700)]  # SQL compares equal lengths and the range of a long
+    rows += [(0, [1.0] * 8), (50, [2.0] * 8), (50, [2.0] * 8)]
+    embeddings = pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float64()))})
+    want = duckdb.connect().execute(queries.OP1_SQL).fetchall()
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, shard_rows=50).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and embeddings.num_rows == len(rows)
+
+
+def test_regions_hold_near_vectors():
+    rng = np.random.default_rng(41)
+    points = np.concatenate([rng.normal(c, 0.1, (200, 6)) for c in (0, 5, 10)])
+    found = topk.Regions(points[rng.permutation(600)[:96]], 16)
+    assert found.count > 3
+    inside = [np.ptp(points[found.of(points) == r], axis=0).max() for r in np.unique(found.of(points))]
+    assert np.median(inside) < 2
+    same = topk.Regions(np.ones((50, 3)), 4)
+    assert same.count == 1 and same.of(np.ones((2, 3))).tolist() == [0, 0]
+
+
 # 2
 
 KEY = b"test key"
