@@ -207,10 +207,9 @@ def _dealt(vectors: DataFrame, shard_rows: int) -> DataFrame:
                     region[at] = fitted[int(dim)].of(matrix(pa.chunked_array([batch.column(1).take(pa.array(at))])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region)], names=[*batch.schema.names, "region"])
 
-    if not fitted:
-        placed = vectors.withColumn("region", F.lit(0).cast("long"))
-    else:
-        placed = persist_table(vectors.mapInArrow(place, "vec_id long, q array<double>, dim int, times long, asked long, region long"), "placed")
+    if all(n <= shard_rows for n in rows.values()):
+        return vectors.withColumn("shard", F.lit(0).cast("long"))
+    placed = persist_table(vectors.mapInArrow(place, "vec_id long, q array<double>, dim int, times long, asked long, region long"), "placed")
     parts = placed.groupBy("dim", "region").agg(F.ceil(F.count("*") / shard_rows).alias("parts"))
     parts = parts.withColumn("first", F.sum("parts").over(Window.orderBy("dim", "region")) - F.col("parts"))  # a row for each region
     part = F.pmod(F.xxhash64("vec_id", "q"), F.col("parts"))
@@ -233,7 +232,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
     whole = valid.select("vec_id", F.transform("embedding", lambda x: _whole(x * scale)).alias("q"), "asked")
     points = whole.groupBy("vec_id", "q").agg(F.count("*").alias("times"), F.sum(F.col("asked").cast("long")).alias("asked"))
     points = persist_table(points.select("vec_id", "q", F.size("q").alias("dim"), "times", "asked"), "points")
-    dealt = persist_table(_dealt(points, shard_rows), "dealt")
+    dealt = _dealt(points, shard_rows)
 
     def grow(key: tuple, rows: pa.Table) -> pa.Table:
         often = np.minimum(rows["times"].to_numpy(), k + 1)  # more copies of one row cannot all be among the best
@@ -246,6 +245,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
     trees = persist_table(dealt.groupBy("shard", "dim").applyInArrow(grow, "shard long, dim int, center array<double>, radius double, tree binary"), "trees")
     queries = dealt.where("asked > 0").select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "q", "dim", F.col("shard").alias("home"), F.col("asked").alias("copies"))
     queries = persist_table(queries, "queries")
+    few = queries.count() <= block_rows
 
     def visit(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
@@ -259,6 +259,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
 
     def visited(asked: DataFrame, name: str) -> DataFrame:
         """What queries (query, q, dim, shard, own, floor_score, floor_id) find in the shards they are sent to."""
+        if few:
+            return persist_table(asked.groupBy("shard", "dim").cogroup(trees.select("shard", "dim", "tree").groupBy("shard", "dim")).applyInArrow(visit, "query long, vec_id long, score long"), name)
         asked = persist_table(asked, "asked")
         blocks = persist_table(asked.groupBy("shard", "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "blocks")  # a row for each shard
         dealt_out = asked.join(blocks, ["shard", "dim"]).withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
