@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .scratch import small_batches
+from .scratch import persist_table, small_batches
 
 #: Words; a shorter item must occur whole and unchanged.
 LEAST_ITEM = 6
@@ -215,24 +215,42 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = 8 << 20) -> Iterator[list
         yield sorted(map(tuple, part.collect()), key=lambda x: (str(x[0]), x[1]))
 
 
-def _rare(docs: DataFrame, items: Items, least: float) -> Seeds:
-    """Seeds of the items, with word counts over the whole texts of all documents."""
+def _rare(docs: DataFrame, blocks: list[Items], least: float) -> list[Seeds]:
+    """Seeds of the items of several blocks, with word counts over the whole texts of all documents, in one pass."""
 
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.vocabulary), np.int64)
+        totals = [np.zeros(len(items.vocabulary), np.int64) for items in blocks]
         for batch in batches:
             for found in W.chunks(batch.column(0), W.PUNCTUATION, fold=True):
-                total += np.bincount(items.places(found)[1], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["word", "n"])
+                for items, total in zip(blocks, totals, strict=True):
+                    total += np.bincount(items.places(found)[1], minlength=len(total))
+        for k, total in enumerate(totals):
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["block", "word", "n"])
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(items.vocabulary), np.int64)
-    for word, n in counted.collect():  # at most one row for each word of the block's items
-        counts[word] = n
-    return Seeds.choose(items, counts, least)
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "block int, word int, n long").groupBy("block", "word").agg(F.sum("n").alias("n"))
+    counts = [np.zeros(len(items.vocabulary), np.int64) for items in blocks]
+    for block, word, n in counted.collect():  # at most one row for each word of the blocks' items
+        counts[block][word] = n
+    return [Seeds.choose(items, n, least) for items, n in zip(blocks, counts, strict=True)]
+
+
+#: Blocks of items that one pass over the documents looks for.
+TOGETHER = 4
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, least: float, block_bytes: int) -> Iterator[list[Seeds]]:
+    """Seeds of the items, up to :data:`TOGETHER` blocks at a time. docs: text."""
+    held: list[Items] = []
+    for rows in blocks_of(benchmark, block_bytes):
+        held.append(Items.read(rows))
+        if len(held) == TOGETHER:
+            yield _rare(docs, held, least)
+            held = []
+    if held:
+        yield _rare(docs, held, least)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
@@ -241,44 +259,55 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_byt
     docs: doc_id and text; benchmark: item_id and text. Words are runs without white space and ASCII punctuation, A-Z
     folded. Null and empty texts and null ids of items are not searched; items of fewer than 6 words match only whole and unchanged. Null and empty document texts match nothing. A document with
     several alignments for an item gives the best, the first of equals. Repeated rows of documents give repeated rows;
-    repeated items count once. Other columns are not read.
+    repeated items count once. Other columns are not read. The rows found do not depend on how items are dealt to blocks:
+    seeds are so many that every alignment holds enough of them, so recall is that of aligning every item with every document.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
-    for rows in blocks_of(benchmark, block_bytes):
-        seeds = _rare(docs, Items.read(rows), least)
+    for taken in _passes(docs, benchmark, least, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], taken: list[Seeds] = taken) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(c.row + x[0], *x[1:]) for c in W.chunks(batch.column(1), W.PUNCTUATION, fold=True) for x in _matches(seeds, c)]
+                found = [(c.row + x[0], seeds.items.ids[x[1]], *x[2:]) for c in W.chunks(batch.column(1), W.PUNCTUATION, fold=True) for seeds in taken for x in _matches(seeds, c)]
                 at, item, score, start, end = zip(*found, strict=True) if found else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([seeds.items.ids[t] for t in item], pa.int64() if kinds[1] in ("bigint", "int") else None).cast(batch_type), pa.array(score, pa.float64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(item).cast(item_type), pa.array(score, pa.float64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
                     names=["doc_id", "item_id", "score", "start_word", "end_word"],
                 )
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        batch_type = to_arrow_type(benchmark.schema["item_id"].dataType)
         part = docs.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start_word int, end_word int")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start_word int, end_word int")
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no test item; see :func:`matches`."""
+    """The rows of docs, with all their columns, that hold no test item; see :func:`matches`.
+
+    Words are counted over the documents given, whatever earlier blocks dropped, and what a pass keeps is written before the next, so
+    passes grow with the number of blocks and the result does not depend on it.
+    """
     at = docs.columns.index(text)
-    for rows in blocks_of(benchmark, block_bytes):
-        seeds = _rare(docs.select(F.col(text).alias("text")), Items.read(rows), least)
+    texts = docs.select(F.col(text).alias("text"))
+    kept, passes = docs, 0
+    for taken in _passes(texts, benchmark, least, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], taken: list[Seeds] = taken) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 for found in W.chunks(batch.column(at), W.PUNCTUATION, fold=True):
-                    for x in _matches(seeds, found):
-                        keep[found.row + x[0]] = False
+                    for seeds in taken:
+                        for x in _matches(seeds, found):
+                            keep[found.row + x[0]] = False
                 yield batch if keep.all() else batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        if passes:
+            kept = persist_table(kept, "clean")
+        kept = kept.mapInArrow(run, docs.schema)
+        passes += 1
+    return kept

@@ -603,6 +603,9 @@ def test_decontamination(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), bench).count() == 0
     blocks = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench, block_bytes=1000).collect()}
     assert blocks == set(got)
+    assert len(list(decontaminate.blocks_of(bench, 200))) > decontaminate.TOGETHER
+    again = decontaminate.clean(df, bench, block_bytes=200)
+    assert sorted(str(r["doc_id"]) for r in again.collect()) == sorted(str(r["doc_id"]) for r in clean.collect())
 
 
 def test_decontamination_of_short_items(spark):
@@ -639,6 +642,23 @@ def test_decontamination_of_edited_copies(spark):
     assert got == want
 
 
+def test_decontamination_by_aligning_everything(spark):
+    """The query's rows on whole test tables against Smith-Waterman of every item with every document."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test tables")
+    docs, items = (queries.table(spark, folder, t).collect() for t in ("documents", "benchmark"))
+    taken = decontaminate.Items.read([(r["item_id"], r["text"]) for r in items])
+    want = {}
+    for r in docs:
+        for c in words.chunks(pa.array([r["text"]], pa.string()), words.PUNCTUATION, fold=True, chunk_bytes=1 << 30):
+            if len(c.hash):
+                share = decontaminate.align(taken.words, [c.hash] * len(taken.ids))[0] / (2 * taken.size)
+                want |= {(r["doc_id"], taken.ids[k]): share[k] for k in np.flatnonzero(share >= 0.5)}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in queries.op8_benchmark_decontamination(spark, folder).collect()}
+    assert got == want and len(want) >= 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=9), st.lists(st.integers(1, 4), min_size=1, max_size=12))
 def test_alignment(a, b):
