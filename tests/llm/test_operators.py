@@ -700,7 +700,71 @@ def test_regions_beside_articles():
     assert f(f"<article>{story}</article><div><p>Some line of little text</p></div>").split("\n") == lines
 
 
+PARA = "This is a sentence of the story that is long enough to be text. " * 3
+PLAIN_PAGES = [
+    # neither names nor articles: a link list, short boilerplate lines, a story in plain elements
+    ("<body><div><a href=a>One</a> <a href=b>Two</a></div><div><p>Log in</p><p>Search</p><p>Help</p><p>Contact</p></div>" + f"<div><h2>Title</h2><p>{PARA}</p><p>{PARA}</p><p>Short.</p><p>{PARA}</p></div><div><p>Terms</p><p>Jobs</p><p>Press</p><p>Imprint</p></div>", f"Title\n{PARA.strip()}\n{PARA.strip()}\nShort.\n{PARA.strip()}"),
+    # a story in a table cell, markup-heavy lines around it
+    ("<table><tr><td><b>A</b><i>B</i><u>C</u><td><b>D</b><i>E</i><u>F</u></table>" + f"<table><tr><td>{PARA}<td>{PARA}</table>" + "<p><b>x</b> <i>y</i> <b>z</b></p><p><b>x</b> <i>y</i></p><p><b>u</b></p>", f"{PARA.strip()}\n{PARA.strip()}"),
+    # a teaser article beside the story, and one that is cut in two
+    (f"<article><p>Teaser</p></article><div><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p></div><div><p>Login</p></div>", "\n".join([PARA.strip()] * 3)),
+    (f"<article><h1>One</h1><p>{PARA}</p></article><p>x</p><article><p>{PARA}</p><p>End</p></article>", f"One\n{PARA.strip()}\n{PARA.strip()}\nEnd"),
+    # the article's own header by name, and the page's
+    (f"<div class=site-header>Site</div><div class=entry-header><h1>Title</h1></div><div class=entry-content><p>{PARA}</p><p>{PARA}</p></div><div class=entry-footer>Filed under x</div>", f"Title\n{PARA.strip()}\n{PARA.strip()}"),
+    # a short end in a plain container, short boilerplate in the next
+    (f"<div><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p><p>The end.</p></div><div><p>Log in</p><p>Help</p><p>Jobs</p><p>Terms</p></div>", "\n".join([PARA.strip()] * 3 + ["The end."])),
+    (f"<article><div class=entry-header><h1>Title</h1></div><p>{PARA}</p><aside>{PARA}</aside><div class=comments>{PARA}</div></article>", f"Title\n{PARA.strip()}"),
+]
+
+
+@pytest.mark.parametrize("page, want", PLAIN_PAGES)
+def test_regions_without_telling_names(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_the_ratio_decides(monkeypatch):
+    """Without clusters, without smoothing, and without ratios at all, other text comes out."""
+    other = lambda: sum(html_text.main_text(p) != w for p, w in PLAIN_PAGES)
+    every = lambda x: np.ones(len(x), bool)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "upper_cluster", every)
+        assert other() >= 1
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smooth", lambda x, sigma: x)
+        assert other() >= 1
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "upper_cluster", every)
+        m.setattr(html_text, "smooth", lambda x, sigma: np.zeros(len(x)))
+        assert other() >= 3
+    assert other() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.floats(0, 1e6), min_size=1, max_size=12))
+def test_clusters(values):
+    x = np.log1p(np.array(values))
+    up = html_text.upper_cluster(np.array(values))
+    if len(set(x.tolist())) > 1:
+        assert 0 < up.sum() < len(x) and x[up].min() > x[~up].max()
+        cost = lambda mask: sum(((x[m] - x[m].mean()) ** 2).sum() for m in (mask, ~mask))
+        assert cost(up) <= min(cost(x >= c) for c in sorted(set(x.tolist()))[1:]) + 1e-9 * (1 + x.max() ** 2) * len(x)
+    else:
+        assert up.all()
+
+
+def test_deep_and_long_pages(spark):
+    n = 50_000
+    pages = ["<b><i>" * n + "<p>x" * n, "<div>" * n + PARA + "</div>" * n, "<p>" * n + PARA, "<ul><li>" * n + PARA, "<span>" * n + "</b>" * n + PARA, "<table><tr><td>" * n + PARA, "<a href=x>" * n + PARA, f"<article><p>{PARA}" * 5000, f"<p>{PARA * 5000}</p>", "<" * n, "&" * n, "<!--" * n, "<a " * n, "<a b='" * n]
+    began = time.time()
+    rows = html_text.extract(frame(spark, [(k, "u", x) for k, x in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert time.time() - began < 60
+    got = {r["page_id"]: r["text"] for r in rows}
+    assert got[0].count("x") == n and PARA.strip() in got[1] and got[7].count("story") == 15_000 and got[8].count("story") == 15_000
+
+
 def test_extract(spark):
     df = frame(spark, [(1, "u", "<article><p>é x</p></article>"), (1, "u", None), (None, None, "<p>")], "page_id long, url string, html string")
     assert sorted(map(str, (tuple(r) for r in html_text.extract(df).collect()))) == sorted(map(str, [(1, "u", "é x", 3), (1, "u", "", 0), (None, None, "", 0)]))
     assert html_text.extract(df.limit(0)).count() == 0
+    clashing = frame(spark, [(1, "u", "<p>x</p>")], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("y"))
+    assert [tuple(r) for r in html_text.extract(clashing).collect()] == [(1, "u", "x", 1)]
