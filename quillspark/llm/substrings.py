@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .scratch import drop_table, persist_table, release, small_batches
+from .scratch import drop_table, join_facts, persist_table, release, small_batches
 
 WINDOW = 50
 ROUNDS = 4
@@ -218,9 +218,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     known = docs.where("doc_id is not null and text is not null")
     small_batches(docs.sparkSession)
     names = persist_table(_names(known, window, rounds), "names")
-    shared = names.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    marked = names.join(shared, "name").groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("least") < F.col("doc_id"), F.col("name"))).alias("late"), F.collect_list(F.when(F.col("most") > F.col("doc_id"), F.col("name"))).alias("early")
+    shared = join_facts(names, ["name"], lambda x: x.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"))
+    # sets, so that rows which share a doc_id and their text cost no more than one
+    marked = shared.groupBy("doc_id").agg(
+        F.collect_set(F.when(F.col("least") < F.col("doc_id"), F.col("name"))).alias("late"), F.collect_set(F.when(F.col("most") > F.col("doc_id"), F.col("name"))).alias("early")
     )
     marked = persist_table(marked, "marked")
     drop_table(names)
@@ -230,8 +231,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     candidates = known.join(marked, "doc_id").select("doc_id", "text", kind, "late", "early")
     windows = persist_table(_windows(candidates, window, rounds), "windows")
     release(docs.sparkSession)
-    least = windows.where("early").groupBy("one", "two").agg(F.min("doc_id").alias("least"))
-    again = windows.where("late").join(least, ["one", "two"]).where("least < doc_id")
+    again = join_facts(windows.where("late"), ["one", "two"], lambda x: x.groupBy("one", "two").agg(F.min("doc_id").alias("least")), windows.where("early")).where("least < doc_id")
     starts = persist_table(again.groupBy("doc_id", "kind").agg(F.collect_set("start").alias("starts")), "starts")
     drop_table(windows)
     drop_table(marked)
