@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
 from .components import components
-from .scratch import drop_table, persist_table, release, sent_if_few, small_batches
+from .scratch import drop_table, join_facts, persist_table, release, sent_if_few, small_batches
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= PERCENT * union.
@@ -54,7 +54,9 @@ def _signatures(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class _First:
-    """Documents whose set this task has not met yet."""
+    """Documents whose set this task has not met yet. Beyond so many sets it begins anew: equal sets then give one row more."""
+
+    MOST = 1 << 18
 
     def __init__(self) -> None:
         self.seen: set[tuple[int, int]] = set()
@@ -63,6 +65,8 @@ class _First:
         keep = np.zeros(len(one), bool)
         for k, pair in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
             if sizes[k] and pair not in self.seen:
+                if len(self.seen) >= self.MOST:
+                    self.seen.clear()
                 self.seen.add(pair)
                 keep[k] = True
         return keep
@@ -165,32 +169,57 @@ def _columns(docs: DataFrame, n: int, percent: int, frequent: _Frequent) -> Data
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Rows of whole grams (first column), from batches that are sorted by it."""
-    rest: list[np.ndarray] | None = None
+    rest: list[list[np.ndarray]] = []  # of the last gram so far
     for batch in batches:
         if not len(batch):
             continue
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        if rest and now[0][-1] == rest[-1][0][-1]:
+            rest.append(now)
+            continue
         cut = int(np.searchsorted(now[0], now[0][-1]))
-        if cut:
-            yield [c[:cut] for c in now]
-        rest = [c[cut:] for c in now]
-    if rest is not None and len(rest[0]):
-        yield rest
+        yield_now = [*rest, [c[:cut] for c in now]]
+        rest = [[c[cut:] for c in now]]
+        whole = [np.concatenate(x) for x in zip(*yield_now, strict=True)]
+        if len(whole[0]):
+            yield whole
+    if rest:
+        yield [np.concatenate(x) for x in zip(*rest, strict=True)]
 
 
-def _shared(columns: DataFrame) -> DataFrame:
-    """Rows of columns with two documents or more, and the rows that are no columns."""
+#: N-grams that so many documents hold are dealt to salts while rows are only passed on.
+_CROWDED, _SALTS = 2048, 256
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, doc, size in _groups(batches):
-            new = np.concatenate([[True], gram[1:] != gram[:-1], [True]])
-            keep = ~(new[:-1] & new[1:]) | (gram < 0)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (gram, doc, size)], names=["gram", "doc_id", "size"])
 
-    return columns.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, columns.schema)
+def _shared(columns: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows of columns with two documents or more, and the rows that are no columns.
+
+    A row is passed on when the next or the previous is of the same column, so no column is held. Columns in ``crowded`` (gram,
+    at most FREQUENT of them) have many documents for sure; their rows are dealt out further.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last row, not passed on yet
+        same = False  # whether the row before it was of its column
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            gram, doc, size, sure = now
+            new = np.concatenate([[not same], gram[1:] != gram[:-1]])
+            last = np.append(new[1:], True)
+            keep = ~(new & last) | (gram < 0) | sure
+            held, same = [c[-1:] for c in now], not new[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in (gram, doc, size)], names=["gram", "doc_id", "size"])
+        if held is not None and (same or held[0][0] < 0 or held[3][0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[:3]], names=["gram", "doc_id", "size"])
+
+    many = F.broadcast(crowded.select("gram", F.lit(True).alias("sure")))
+    marked = columns.join(many, "gram", "left").select("gram", "doc_id", "size", F.coalesce("sure", F.lit(False)).alias("sure"))
+    salt = F.when(F.col("sure"), F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))).otherwise(F.lit(0))
+    return marked.repartition(F.col("gram"), salt).sortWithinPartitions("gram").mapInArrow(run, columns.schema)
 
 
 def _capped(shared: DataFrame, percent: int) -> DataFrame:
@@ -391,11 +420,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, p
     rows = summary.where("one is not null")
     often = summary.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(FREQUENT)
     # at most FREQUENT hashes
-    frequent = _Frequent(np.sort(often.select("gram").toArrow()["gram"].to_numpy().astype(np.uint64)))
+    often = often.toArrow()
+    frequent = _Frequent(np.sort(often["gram"].to_numpy().astype(np.uint64)))
+    # as columns call them: see _columns
+    crowded = (often["gram"].to_numpy()[often["times"].to_numpy() >= _CROWDED] >> 1) | (1 << (W.SET_BITS - 1))
+    crowded = docs.sparkSession.createDataFrame(pa.table({"gram": pa.array(crowded, pa.int64())})).distinct()
     filled = rows.where("n_shingles > 0 and doc_id is not null")
-    copies = filled.join(filled.groupBy("one", "two").agg(F.min("doc_id").alias("least")), ["one", "two"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    # groups of copies may be large: their least doc_id goes to where their rows are
+    copies = join_facts(filled, ["one", "two"], lambda x: x.groupBy("one", "two").agg(F.min("doc_id").alias("least"))).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     copies = persist_table(copies, "copies")
-    shared = persist_table(_shared(_columns(known, n, percent, frequent)), "shared")
+    shared = persist_table(_shared(_columns(known, n, percent, frequent), crowded), "shared")
     rows_of = persist_table(_capped(shared, percent), "columns")
     drop_table(shared)
     release(docs.sparkSession)

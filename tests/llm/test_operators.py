@@ -573,6 +573,30 @@ def test_near_duplicates(spark, monkeypatch, looked, pairs, members):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows)))
 
 
+def test_columns_over_batches(spark, monkeypatch):
+    """Groups and shared rows do not depend on where batches end, nor on which columns are dealt out."""
+    rng = np.random.default_rng(43)
+    gram = np.sort(rng.choice(np.concatenate([np.arange(-3, 60), [5, 5, 9] * 20]), 300))
+    rows = [gram, np.arange(300), np.full(300, 9, np.int32), np.zeros(300, bool)]
+    for _ in range(20):
+        edges = [0, *np.sort(rng.integers(0, 300, 12)).tolist(), 300]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in rows], names=list("abcd")) for a, b in itertools.pairwise(edges)]
+        parts = list(jaccard._groups(iter(batches)))
+        assert np.array_equal(np.concatenate([p[1] for p in parts]), rows[1])
+        grams = [set(p[0].tolist()) for p in parts]
+        assert sum(map(len, grams)) == len(set(gram.tolist()))
+    n = [int((gram == g).sum()) for g in gram]
+    columns = spark.createDataFrame([(int(g), int(d), 9) for g, d in zip(gram, rows[1], strict=True)], "gram long, doc_id long, size int")
+    for crowded in ([], [5, 9]):
+        got = jaccard._shared(columns, spark.createDataFrame([(g,) for g in crowded], "gram long")).collect()
+        assert sorted(r["doc_id"] for r in got) == [d for d in range(300) if n[d] > 1 or gram[d] < 0]
+    monkeypatch.setattr(jaccard._First, "MOST", 2)
+    monkeypatch.setattr(jaccard, "_CROWDED", 2)
+    monkeypatch.setattr(scratch, "HOT_ROWS", 32)
+    docs = near_rows() + [(20_000 + k, "one and the same text of some words") for k in range(400)]
+    assert sorted(map(str, map(tuple, jaccard.near_duplicates(frame(spark, docs)).collect()))) == sorted(map(str, brute_components(docs)))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.near_duplicates(frame(spark, [(1, "a b")])).collect()] == [(1, 1, 1)]
