@@ -19,17 +19,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that with the least doc_id, of equal ones any. Rows without doc_id stay."""
-    found = persist_table(jaccard.near_duplicates(docs), "near-duplicates")
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(sent_if_few(gone), "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row of each group of near duplicates: that with the least doc_id. Rows without doc_id stay.
+
+    Rows that share a doc_id are told apart by their texts: equal and near ones are a group like others, different ones all stay.
+    """
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not again.take(1):
-        return kept
-    again = sent_if_few(again)
-    # some doc_ids occur more than once: of such rows one stays
-    single = kept.join(again, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        found = persist_table(jaccard.near_duplicates(docs), "near-duplicates")
+        gone = found.where("component_id < doc_id").select("doc_id").distinct()
+        return docs.join(sent_if_few(gone), "doc_id", "left_anti").select(docs.columns)
+    # some doc_ids occur more than once, so rows are numbered; the numbers are written before they are used
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = persist_table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    known = numbered.where("doc_id is not null")
+    found = persist_table(jaccard.near_duplicates(known.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id"), "near-duplicates")
+    named = found.join(known.select(row, "doc_id"), row)
+    kept = named.groupBy("component_id").agg(F.min_by(row, F.struct("doc_id", row)).alias(row)).select(row)
+    gone = found.select(row).join(kept, row, "left_anti")
+    return numbered.join(sent_if_few(gone), row, "left_anti").select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +47,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for personal data; n_chars follows the text."""
-    out = pii.protect(docs, PSEUDONYM_KEY)
+    """Documents with pseudonyms for personal data; n_chars follows the text, all other columns stay as they are."""
+    finds = "pii"
+    while finds in docs.columns:
+        finds += "_"
+    out = pii.protect(docs, PSEUDONYM_KEY, finds=finds)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(finds) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
