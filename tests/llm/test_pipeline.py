@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import decontaminate, pii, queries
@@ -44,6 +45,40 @@ def test_odd_documents(spark):
         stage(spark, docs.limit(0), SF).collect()
 
 
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns: each stage's rows by its operator's own model."""
+    leak = "the one sentence of a benchmark that nobody should learn from in training at all today"
+    long = " ".join(f"w{k % 977}x{k % 31}" for k in range(30_000))
+    rows = [
+        (1, "call +1 (706) 555-5481 " + "plain words " * 9, "en", "s", 99, "mine"), (1, "call +1 (706) 555-5481 " + "plain words " * 9, "en", "t", 99, "mine"), (1, "something else under the same id entirely", "en", "s", 9, None),
+        (None, "x y", None, None, None, "n"), (None, None, None, None, None, None), (2, None, "en", "s", 0, ""), (2, "", "en", "s", 0, ""), (3, long, "en", "s", len(long), "z"), (4, long + " end", "en", "s", len(long) + 4, "z"),
+        (5, f"before {leak} after", "en", "s", 7, "b"), (6, leak.upper(), "de", "s", 7, "b"), (7, "   ", "en", None, 3, "c"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, pii string"
+    folder = str(tmp_path)
+    docs = spark.createDataFrame(rows, schema).withColumn("_row", F.lit(8)).withColumn("gram", F.lit("g")).repartition(3)
+    spark.createDataFrame([(i, int(i != 7), 0) for i in (1, 2, 3, 7, 99)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, None), (None, "x y")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    key = lambda r: (str(r["doc_id"]), str(r["text"])[:40])
+    quality, near, benchmark, personal, packing = (f for _, f in corpus_pipeline.STAGES)
+    assert quality(spark, docs, folder).columns == docs.columns
+    kept = near(spark, docs, folder)
+    assert kept.columns == docs.columns
+    left = sorted(map(key, kept.collect()))
+    want = [r for k, r in enumerate(rows) if k not in (1, 8, 10)]  # the repeated row and near copies: 12 of 14 runs are those of row 9
+    assert left == sorted((str(r[0]), str(r[1])[:40]) for r in want)
+    assert sorted(map(key, benchmark(spark, docs, folder).collect())) == sorted((str(r[0]), str(r[1])[:40]) for r in rows if r[0] not in (5, 6))
+    safe = personal(spark, docs, folder)
+    assert safe.columns == docs.columns and sorted(str(r["pii"]) for r in safe.collect()) == sorted(str(r[5]) for r in rows)
+    texts = [pii.pseudonymise(r[1], queries.PSEUDONYM_KEY)[0] if r[1] else r[1] for r in rows]
+    assert sorted(map(str, (r["text"] for r in safe.collect()))) == sorted(map(str, texts)) and "706" not in texts[0]
+    pieces = packing(spark, docs, folder).collect()
+    assert sum(r["piece"] == 0 for r in pieces) == len(rows)
+    run = corpus_pipeline.run(spark, folder).collect()
+    assert {"sequence_id", "offset"} <= set(run[0].asDict()) and not {5, 6} & {r["doc_id"] for r in run}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     db = duckdb.connect()
