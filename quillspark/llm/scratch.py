@@ -92,25 +92,28 @@ def sent_if_few(ids: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
 
 
-#: Rows from which a key counts as hot, the share of rows that is looked at to find such keys, and how many there are at most.
-HOT_ROWS, HOT_SHARE, MOST_HOT = 2048, 16, 50_000
+#: Rows from which a key counts as hot, the share of rows that is looked at to find such keys, and how many there are at most;
+#: their rows are dealt to so many salts.
+HOT_ROWS, HOT_SHARE, MOST_HOT, SALTS = 2048, 16, 50_000, 64
 
 
 def join_facts(rows: DataFrame, keys: list[str], facts: Callable[[DataFrame], DataFrame], of: DataFrame | None = None) -> DataFrame:
     """``rows`` joined by ``keys`` with ``facts(of)``, an aggregation by them (``of``: the same rows).
 
-    Keys that a sample finds in many rows take another way, with the same result: their facts, at most :data:`MOST_HOT` rows, go
-    to where the rows are, so that no task gets all rows of one key.
+    The rows of keys that a sample finds often are salted, and their facts copied to every salt, so that no task gets all rows
+    of one key. Which keys those are changes nothing in the result.
     """
     of = rows if of is None else of
     least = max(HOT_ROWS // HOT_SHARE, 2)
     seen = rows.select(*keys).sample(1 / HOT_SHARE, seed=7).groupBy(*keys).count().where(F.col("count") >= least)
-    hot = persist_table(seen.orderBy(F.desc("count"), *keys).limit(MOST_HOT).select(*keys), "hot")
+    hot = persist_table(seen.orderBy(F.desc("count"), *keys).limit(MOST_HOT).select(*keys, F.lit(SALTS).alias("_salts")), "hot")
     if not hot.take(1):
         return rows.join(facts(of), keys)
-    few = persist_table(facts(of.join(F.broadcast(hot), keys, "left_semi")), "hot-facts")
-    others = [x.join(F.broadcast(hot), keys, "left_anti") for x in (rows, of)]
-    return rows.join(F.broadcast(few), keys).unionByName(others[0].join(facts(others[1]), keys))
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).cast("byte")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copies = facts(of).join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every).cast("byte")).drop("_salts")
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 #: Rows of texts that go to Python at once, at most; texts can be long.
