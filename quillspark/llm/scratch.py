@@ -111,8 +111,8 @@ def join_facts(rows: DataFrame, keys: list[str], facts: Callable[[DataFrame], Da
         return rows.join(facts(of), keys)
     salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).cast("byte")
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
-    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    copies = facts(of).join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every).cast("byte")).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1).cast("array<byte>")
+    copies = facts(of).join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
