@@ -101,19 +101,22 @@ def join_facts(rows: DataFrame, keys: list[str], facts: Callable[[DataFrame], Da
     """``rows`` joined by ``keys`` with ``facts(of)``, an aggregation by them (``of``: the same rows).
 
     The rows of keys that a sample finds often are salted, and their facts copied to every salt, so that no task gets all rows
-    of one key. Which keys those are changes nothing in the result.
+    of one key. Which keys those are changes nothing in the result. The first key is a 64-bit hash: a salted one takes its place in
+    the join, so that rows carry no more than before.
     """
     of = rows if of is None else of
     least = max(HOT_ROWS // HOT_SHARE, 2)
     seen = rows.select(*keys).sample(1 / HOT_SHARE, seed=7).groupBy(*keys).count().where(F.col("count") >= least)
-    hot = persist_table(seen.orderBy(F.desc("count"), *keys).limit(MOST_HOT).select(*keys, F.lit(SALTS).alias("_salts")), "hot")
+    hot = persist_table(seen.orderBy(F.desc("count"), *keys).limit(MOST_HOT).select(*keys, F.lit(True).alias("_hot")), "hot")
     if not hot.take(1):
         return rows.join(facts(of), keys)
-    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).cast("byte")
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
-    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1).cast("array<byte>")
-    copies = facts(of).join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
-    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+    first, *others = keys
+    salted = lambda salt: F.when(F.col("_hot"), F.xxhash64(first, salt.cast("long"))).otherwise(F.col(first)).alias("_key")
+    dealt = rows.join(F.broadcast(hot), keys, "left").select(salted(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))), *(c for c in rows.columns if c != first))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = facts(of).join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every))
+    copies = copies.withColumn("_key", salted(F.col("_salt"))).drop("_salt", "_hot")
+    return dealt.join(copies, ["_key", *others]).drop("_key")
 
 
 #: Rows of texts that go to Python at once, at most; texts can be long.
