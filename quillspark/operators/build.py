@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import occurrence_symbols, symbol_owner
@@ -10,29 +12,26 @@ from ..plans.index import Index
 from ..schema import CALLEE_KINDS, CALLER_KINDS, IVY_DEPS, MODULE_DEPS, MODULE_IN, REWRITE
 from .predicates import is_generated_path, is_test_path
 
-#: Rules and prefixes of a build: up to so many are sent to every task; beyond, they are joined.
-SMALL = 10_000
+
+def prefixes(text: str, lengths: DataFrame, size: str, to: str) -> Callable[[DataFrame], DataFrame]:
+    """Rows exploded into ``to``: the prefixes of a column that have one of the lengths (at most as many as the longest has characters)."""
+    sizes = sorted(r[0] for r in lengths.select(size).distinct().collect())
+    fitting = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length(text))
+    return lambda df: df.withColumn(to, F.explode(F.transform(fitting, lambda n: F.substring(text, F.lit(1), n))))
 
 
 def rewrite_uris(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Documents with the first fitting prefix rule applied to their uri. rules: from, to, and an optional order column ``rule``."""
+    """Documents with the first fitting prefix rule applied to their uri. rules: from, to, and an optional order column ``rule``.
+
+    A uri's prefixes of the lengths that rules have meet the rules in an equi-join, however many rules there are.
+    """
     if "rule" not in rules.columns:
         rules = rules.withColumn("rule", F.monotonically_increasing_id())
-    n = rules.count()
-    if not n:
+    rules = checkpointed(rules.select(F.col("from").alias("_from"), F.col("to").alias("_to"), F.col("rule").alias("_rule"), F.length("from").alias("_size")))
+    if not rules.take(1):
         return docs
-    rules = rules.select(F.col("from").alias("_from"), F.col("to").alias("_to"), F.col("rule").alias("_rule"))
-    if n <= SMALL:
-        uri = F.col("uri")
-        out = uri
-        for r in reversed(rules.orderBy("_rule").collect()):
-            out = F.when(uri.startswith(r["_from"]), F.concat(F.lit(r["_to"]), uri.substr(F.lit(len(r["_from"]) + 1), F.length(uri)))).otherwise(out)
-        return docs.withColumn("uri", out)
-    # many rules: a uri's prefixes of the lengths that rules have meet the rules in an equi-join
-    sizes = [r[0] for r in rules.select(F.length("_from")).distinct().collect()]
-    tries = F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s <= F.length("uri"))
-    uris = docs.select("uri").distinct().withColumn("_from", F.explode(F.transform(tries, lambda s: F.substring("uri", F.lit(1), s))))
-    best = uris.join(rules, "_from").groupBy("uri").agg(F.min(F.struct("_rule", "_from", "_to")).alias("r"))
+    tries = prefixes("uri", rules, "_size", "_from")(docs.select("uri").distinct())
+    best = tries.join(rules, "_from").groupBy("uri").agg(F.min(F.struct("_rule", "_from", "_to")).alias("r"))
     fixed = best.select("uri", F.concat("r._to", F.expr("substring(uri, length(r._from) + 1)")).alias("_uri"))
     return docs.join(fixed, "uri", "left").withColumn("uri", F.coalesce("_uri", "uri")).drop("_uri").select(docs.columns)
 
@@ -78,10 +77,10 @@ def build_files(docs: DataFrame, modules: DataFrame, root: str) -> DataFrame:
     made = modules.select(F.explode("generated_source_paths").alias("p")).where(~F.lower("p").contains("sharedsources.dest"))
     made = made.select(F.when(F.col("p").startswith(root), F.expr(f"substring(p, {len(root) + 1})")).otherwise(F.col("p")).alias("p")).distinct()
     files = first.join(ids, "segments", "left").join(tests, "segments", "left")
-    # a theta semi-join on prefixes; the folders are as many as the build's modules, and are sent out only when few
-    few = made.limit(SMALL + 1).count() <= SMALL
-    folders = F.broadcast(made) if few else made
-    generated = files.join(folders, F.col("path").startswith(F.col("p")), "left_semi").select("path", F.lit(True).alias("_made"))
+    # a path's prefixes of the lengths that folders have meet the folders in an equi-join
+    made = checkpointed(made.where("p is not null"))
+    tries = prefixes("path", made.select(F.length("p").alias("size")), "size", "p")(files.select("path"))
+    generated = tries.join(made, "p", "left_semi").select("path", F.lit(True).alias("_made")).distinct()
     files = files.join(generated, "path", "left").select(
         "path", "module_id", "doc_seq", (F.coalesce("_tested", F.lit(False)) | is_test_path("path", "segments")).alias("is_test"), (F.coalesce("_made", F.lit(False)) | is_generated_path("path")).alias("is_generated")
     )

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from files in the session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """``df`` from files in the session's ``spark.checkpoint.dir``; a folder of our own only where that is unset and all tasks run here."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
     return df.checkpoint()
 
@@ -19,14 +21,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def with_dense_ids(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """``df`` with ids from 0 without gaps, in the given order.
 
-    A range partitioning sorts in parallel; only one count for each partition comes to the driver.
+    A range partitioning sorts in parallel; only one count for each partition meets in one task.
     """
     ranged = checkpointed(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
-    if not counts:
-        return ranged.withColumn(name, F.col("_at")).drop("_part", "_at")
-    first, offsets = 0, []
-    for part, n in counts:
-        offsets += [F.lit(part), F.lit(first)]
-        first += n
-    return ranged.withColumn(name, F.col("_at") + F.create_map(*offsets)[F.col("_part")]).drop("_part", "_at")
+    offsets = ranged.groupBy("_part").count()
+    # a row for each partition: their running sum is small, and joins back as a table
+    offsets = offsets.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_first"))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_first")).select(*df.columns, name)

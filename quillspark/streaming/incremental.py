@@ -23,15 +23,20 @@ def files_stream(spark: SparkSession, folder: str, module: Callable | None = Non
     return files.select("path", "content", (module(F.col("path")) if module else F.lit("")).alias("module_segments"), F.col("modificationTime").alias("changed"))
 
 
-def upsert(batch: DataFrame, table: str) -> None:
-    """Add a batch of documents to a table of Parquet files; readers take the latest of each uri and module (:func:`latest`)."""
-    batch.write.mode("append").parquet(table)
+def upsert(batch: DataFrame, table: str, batch_id: int) -> None:
+    """Write a batch of documents as its own part of the table: a batch that is tried again replaces what it wrote before."""
+    batch.withColumn("added", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+
+def compact(spark: SparkSession, table: str, into: str) -> None:
+    """Write the latest document of each uri and module as batch -1 of a new table, to go on from."""
+    latest(spark, table).withColumn("added", F.lit(-1)).write.mode("overwrite").parquet(f"{into}/batch=-1")
 
 
 def latest(spark: SparkSession, table: str) -> DataFrame:
     """One document for each uri and module: that added last."""
     rows = spark.read.parquet(table)
-    fields = [c for c in rows.columns if c not in ("uri", "module_segments")]
+    fields = [c for c in rows.columns if c not in ("uri", "module_segments", "batch")]
     newest = rows.groupBy("uri", "module_segments").agg(F.max_by(F.struct(*fields), "added").alias("d"))
     return newest.select("uri", "module_segments", "d.symbols", "d.occurrences")
 
@@ -40,7 +45,6 @@ def follow(files: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Decode a stream of files into the table; batches that were written are not written again after a restart."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        documents = good(read_documents(batch.sparkSession, batch)).withColumn("added", F.lit(batch_id))
-        upsert(documents, table)
+        upsert(good(read_documents(batch.sparkSession, batch)), table, batch_id)
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
