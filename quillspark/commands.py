@@ -18,8 +18,7 @@ from .schema import CALLEE_KINDS, TYPE_KINDS
 from .sources import noise_conf, providers, semanticdb
 from .sources.signatures import display_name
 
-#: Callers and callees that a profile shows.
-CALL_CAP = 50
+CALL_CAP = graph.CALL_CAP
 FOLDER, NAME = ".quillspark", "index"
 
 
@@ -238,10 +237,8 @@ def _no_edges(reverse: bool, cross: bool) -> str:
 
 
 def _tree(index: Index, root: int, depth: int, exclude: list[str] | None, reverse: bool, cross: bool) -> tuple[list[graph.Visit], dict[int, Row]]:
-    edges, _ = graph.fetch(index, root, depth, exclude, reverse, cross)
-    ids = index.spark.createDataFrame([(n,) for n in {root, *edges, *(x for v in edges.values() for x in v)}], "symbol_id long")
-    rows = _shown(index.located().join(ids, "symbol_id", "left_semi")).collect()
-    return list(graph.walk(edges, root, depth)), {r["symbol_id"]: r for r in rows}
+    edges, rows = graph.fetch(index, root, depth, exclude, reverse, cross, shape=_shown)
+    return list(graph.walk(edges, root, depth)), rows
 
 
 def _mark(root: Row, r: Row) -> str:

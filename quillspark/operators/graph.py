@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 
 from ..plans.durable import checkpointed
 from ..plans.index import Index
 from .predicates import is_callgraph_noise, is_cross_module, matches_exclude
 
 
+#: Callers and callees of one symbol that a profile shows.
+CALL_CAP = 50
+
+
+def capped(edges: DataFrame, most: int = CALL_CAP) -> DataFrame:
+    """The first ``most`` neighbours of every node, by id: a report's rows, the limit comes before they are gathered."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    return edges.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
 def visible(located: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     """Symbols that call graphs show."""
     shown = located.where(~F.coalesce(is_callgraph_noise(), F.lit(False)))
@@ -94,16 +104,32 @@ def walk(edges: dict[int, list[int]], root: int, depth: int) -> Iterator[Visit]:
             stack.append((child, level + 1, iter(enumerate(sorted(edges.get(child, []))))))
 
 
-def fetch(index: Index, root: int, depth: int, exclude: list[str] | None = None, reverse: bool = False, cross: bool = False) -> tuple[dict[int, list[int]], dict[int, Row]]:
-    """The edges within ``depth`` hops of one symbol, and the symbols on them: what one printed tree can show."""
+#: Edges that one printed tree brings to the driver, at most.
+PRINTED = 100_000
+
+
+def fetch(index: Index, root: int, depth: int, exclude: list[str] | None = None, reverse: bool = False, cross: bool = False, most: int = PRINTED, shape: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[dict[int, list[int]], dict[int, Row]]:
+    """The edges within ``depth`` hops of one symbol, and the symbols on them: what one printed tree can show.
+
+    A level is fetched at a time; ``shape`` makes the columns of the symbols. A tree with more than ``most`` edges is an error that names the limit: nobody reads it, and
+    leaving rows out would show a wrong tree.
+    """
     located = index.located()
     edges = neighbours(index.edges_of("calls", reverse), located, exclude)
     if cross:
         edges = cross_module(edges, located)
-    roots = index.spark.createDataFrame([(root,)], "symbol_id long")
-    near = reachable(edges, roots, depth).select("src", "dst").distinct()
     out: dict[int, list[int]] = {}
-    for r in near.collect():
-        out.setdefault(r["src"], []).append(r["dst"])
-    ids = index.spark.createDataFrame([(n,) for n in {root, *out, *(x for v in out.values() for x in v)}], "symbol_id long")
-    return out, {r["symbol_id"]: r for r in located.join(ids, "symbol_id", "left_semi").collect()}
+    level, seen, n = [root], {root}, 0
+    for _ in range(depth):
+        if not level:
+            break
+        near = edges.join(F.broadcast(index.spark.createDataFrame([(x,) for x in level], "src long")), "src").limit(most - n + 1).collect()
+        n += len(near)
+        if n > most:
+            raise ValueError(f"the tree has more than {most} calls: lower the depth or exclude more")
+        for r in near:
+            out.setdefault(r["src"], []).append(r["dst"])
+        level = sorted({r["dst"] for r in near} - seen)
+        seen.update(level)
+    ids = index.spark.createDataFrame([(x,) for x in sorted(seen)], "symbol_id long")
+    return out, {r["symbol_id"]: r for r in shape(located.join(F.broadcast(ids), "symbol_id", "left_semi")).collect()}

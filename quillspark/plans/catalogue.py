@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..operators import build as B, graph as G, noise as N, predicates as P, reports as R, resolve as S
 from ..schema import PROPERTIES, SHOWN_PROPERTIES
+from . import built
 from .index import Index, violations
 from .projection import MEMBERS_FROM, Views, ctes, project
 
@@ -76,14 +77,8 @@ def refs_by_module(x: Index) -> DataFrame:
     return R.refs_by_module(R.reference_lines(x.refs, x.files))
 
 
-@_query(f"SELECT symbol_id, module_id, file_id, array_to_string(lines, ',') AS lines FROM ({_LINES}) WHERE symbol_id < 20", "refs", "files")
-def refs_locations(x: Index) -> DataFrame:
-    lines = R.reference_lines(x.refs.where("symbol_id < 20"), x.files)
-    return lines.withColumn("lines", F.concat_ws(",", F.col("lines").cast("array<string>")))
-
-
 @_query(f"SELECT symbol_id, module_id, file_id, array_to_string(lines, ',') AS lines FROM ({_LINES})", "refs", "files")
-def refs_locations_all(x: Index) -> DataFrame:
+def refs_locations(x: Index) -> DataFrame:
     return R.reference_lines(x.refs, x.files).withColumn("lines", F.concat_ws(",", F.col("lines").cast("array<string>")))
 
 
@@ -212,14 +207,8 @@ def search_trigram_candidates(x: Index) -> DataFrame:
     return S.trigram_candidates(x.symbols, "Store")
 
 
-@_query("SELECT tri, count(*) AS n FROM (SELECT symbol_id, unnest(list_distinct([substr(lower(name), i, 3) for i in range(1, length(name) - 1)])) AS tri FROM v_types) GROUP BY tri", "types")
-def trigram_postings(x: Index) -> DataFrame:
-    types = x.symbols.where(F.col("symbol_id") < MEMBERS_FROM)
-    return types.select(F.explode(T.trigrams("name")).alias("tri")).groupBy("tri").agg(F.count("*").alias("n"))
-
-
 @_query("SELECT tri, count(*) AS n FROM (SELECT symbol_id, unnest(list_distinct([substr(lower(name), i, 3) for i in range(1, length(name) - 1)])) AS tri FROM v_symbols) GROUP BY tri", "symbols")
-def trigram_postings_all(x: Index) -> DataFrame:
+def trigram_postings(x: Index) -> DataFrame:
     return x.symbols.select(F.explode(T.trigrams("name")).alias("tri")).groupBy("tri").agg(F.count("*").alias("n"))
 
 
@@ -381,13 +370,8 @@ def module_display(x: Index) -> DataFrame:
     return x.modules.select("module_id", R.module_display("name").alias("display"))
 
 
-@_query("SELECT DISTINCT name, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '([^0-9_])([0-9])', '\\1_\\2', 'g'), '_'), lambda x: x <> ''), lambda x: lower(x)), ' ') AS parts FROM v_types", "types")
-def camel_segments(x: Index) -> DataFrame:
-    return x.symbols.where(F.col("symbol_id") < MEMBERS_FROM).select("name", F.concat_ws(" ", T.camel_segments("name")).alias("parts")).distinct()
-
-
 @_query("SELECT DISTINCT name, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '([^0-9_])([0-9])', '\\1_\\2', 'g'), '_'), lambda x: x <> ''), lambda x: lower(x)), ' ') AS parts FROM v_symbols", "symbols")
-def camel_segments_all(x: Index) -> DataFrame:
+def camel_segments(x: Index) -> DataFrame:
     return x.symbols.select("name", F.concat_ws(" ", T.camel_segments("name")).alias("parts")).distinct()
 
 
@@ -396,13 +380,8 @@ def fuzzy_thresholds(x: Index) -> DataFrame:
     return x.symbols.select("name", T.fuzzy_threshold(F.octet_length("name")).alias("most")).distinct()
 
 
-@_query("SELECT name, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(name, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (a * 31 + b) % 4294967296) % 1024 AS BIGINT) AS bucket FROM (SELECT DISTINCT name FROM v_types)", "types")
-def name_hash_buckets(x: Index) -> DataFrame:
-    return x.symbols.where(F.col("symbol_id") < MEMBERS_FROM).select("name", T.name_hash("name", 1024).alias("bucket")).distinct()
-
-
 @_query("SELECT name, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(name, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (a * 31 + b) % 4294967296) % 1024 AS BIGINT) AS bucket FROM (SELECT DISTINCT name FROM v_symbols)", "symbols")
-def name_hash_buckets_all(x: Index) -> DataFrame:
+def name_hash_buckets(x: Index) -> DataFrame:
     return x.symbols.select("name", T.name_hash("name", 1024).alias("bucket")).distinct()
 
 
@@ -438,12 +417,9 @@ def member_order(x: Index) -> DataFrame:
     return R.members(x).select("src", "dst", "bucket")
 
 
-@_query("SELECT dst, src FROM v_calls QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 3", "calls")
+@_query(f"SELECT dst, src FROM v_calls QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= {G.CALL_CAP}", "calls")
 def call_cap(x: Index) -> DataFrame:
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
-    return x.edges_of("calls").withColumn("n", rank).where("n <= 3").select("dst", "src")
+    return G.capped(x.edges_of("calls", reverse=True)).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
 
 
 @_query("SELECT rule, n FROM (VALUES " + ", ".join(f"('{r}', 0::BIGINT)" for r in ("symbol_id_repeated", "fqn_repeated", "path_repeated", "edge_repeated", "symbol_without_file", "symbol_without_owner", "file_without_module", "ref_without_symbol", "ref_without_file", "edge_without_src", "edge_without_dst", "call_to_itself", "ends_before_start", "dep_without_module")) + ") t(rule, n)")
@@ -522,29 +498,16 @@ _SQL["json_value_extract"] = "SELECT event_id, CAST(json_extract_string(props, '
 def _division(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.metadata import divided
 
-    v = Views(spark, sf_dir)
-    made = v["lineitem"].where("l_suppkey < 4").select(F.col("l_suppkey").alias("made"), (F.col("l_partkey") % 11).cast("string").alias("name"))
-    held = v["lineitem"].where("l_suppkey BETWEEN 4 AND 9 AND l_quantity < 24").select(F.col("l_suppkey").alias("held"), (F.col("l_partkey") % 13).cast("string").alias("name"))
-    return divided(made, held)
-
-
-_QUERIES["shared_source_division"] = _division
-_SQL["shared_source_division"] = """WITH m AS (SELECT DISTINCT l_suppkey AS made, l_partkey % 11 AS name FROM lineitem WHERE l_suppkey < 4), h AS (SELECT DISTINCT l_suppkey AS held, l_partkey % 13 AS name FROM lineitem WHERE l_suppkey BETWEEN 4 AND 9 AND l_quantity < 24)
-SELECT a.made, b.held FROM (SELECT DISTINCT made FROM m) a CROSS JOIN (SELECT DISTINCT held FROM h) b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.made = a.made AND NOT EXISTS (SELECT 1 FROM h WHERE h.held = b.held AND h.name = m.name))"""
-
-def _division_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.metadata import divided
-
     lines = Views(spark, sf_dir)["lineitem"]
     return divided(lines.select(F.col("l_suppkey").alias("made"), (F.col("l_partkey") % 11).cast("string").alias("name")), lines.select(F.col("l_suppkey").alias("held"), (F.col("l_partkey") % 13).cast("string").alias("name")))
 
 
-_QUERIES["shared_source_division_all"] = _division_of_all
-_SQL["shared_source_division_all"] = """WITH m AS (SELECT DISTINCT l_suppkey AS made, l_partkey % 11 AS name FROM lineitem), h AS (SELECT DISTINCT l_suppkey AS held, l_partkey % 13 AS name FROM lineitem)
+_QUERIES["shared_source_division"] = _division
+_SQL["shared_source_division"] = """WITH m AS (SELECT DISTINCT l_suppkey AS made, l_partkey % 11 AS name FROM lineitem), h AS (SELECT DISTINCT l_suppkey AS held, l_partkey % 13 AS name FROM lineitem)
 SELECT a.made, b.held FROM (SELECT DISTINCT made FROM m) a CROSS JOIN (SELECT DISTINCT held FROM h) b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.made = a.made AND NOT EXISTS (SELECT 1 FROM h WHERE h.held = b.held AND h.name = m.name))"""
 
-_QUERIES["source_lines"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "code")).where("line BETWEEN 2 AND 4").select("doc_id", "line", "code")
-_SQL["source_lines"] = "SELECT doc_id, line, code FROM (SELECT doc_id, unnest(range(len(s)))::INTEGER AS line, unnest(s) AS code FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE line BETWEEN 2 AND 4"
+_QUERIES["source_lines"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "code"))
+_SQL["source_lines"] = "SELECT doc_id, line, code FROM (SELECT doc_id, unnest(range(len(s)))::INTEGER AS line, unnest(s) AS code FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
 
 
 # Profiles
@@ -598,24 +561,27 @@ def located_symbols(x: Index) -> DataFrame:
     return x.located().select("symbol_id", P.flag("is_test").alias("test"), P.flag("is_generated").alias("made"), R.module_display().alias("module"), F.coalesce("owner_name", F.lit("")).alias("owner"))
 
 
-@_query()
+@_query(f"SELECT s.symbol_id, s.name FROM {_COUNTED} WHERE contains({_FOLD.format('s.name')}, 'store') AND s.kind = 'class' AND (s.properties & 16512) = 0 ORDER BY {_RANK}, s.symbol_id LIMIT 1", "symbols", "files", "refs")
 def search_best_one(x: Index) -> DataFrame:
     return S.Resolver(x).one("store", kind="class").select("symbol_id", "name")
 
 
-@_query()
+@_query(
+    f"SELECT name FROM (SELECT DISTINCT name, damerau_levenshtein({_FOLD.format('name')}, 'orderstor0') AS d FROM v_symbols) WHERE d BETWEEN 1 AND 3 AND 2 * d <= greatest(strlen(name), 10) ORDER BY d, name LIMIT 5",
+    "symbols",
+)
 def search_suggestions(x: Index) -> DataFrame:
     return S.Resolver(x).suggestions("OrderStor0").select("name")
 
 
-@_query()
+@_query(f"SELECT symbol_id, name FROM v_symbols WHERE contains({_FOLD.format('name')}, 'store')", "symbols")
 def search_other_kinds(x: Index) -> DataFrame:
     return S.Resolver(x).other_kinds("Store", include_noise=True).select("symbol_id", "name")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(_QUERIES) | built.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(_SQL) | built.SQL
