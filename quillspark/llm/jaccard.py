@@ -222,14 +222,24 @@ def _shared(columns: DataFrame, crowded: DataFrame) -> DataFrame:
     return marked.repartition(F.col("gram"), salt).sortWithinPartitions("gram").mapInArrow(run, columns.schema)
 
 
+#: Above the size of any set.
+_NO_CAP = (1 << 31) - 1
+
+
 def _capped(shared: DataFrame, percent: int) -> DataFrame:
     """Shared columns with ``last``, the document's last first column, and ``cap``: its size less its first columns that it shares with none.
 
     Of two documents, the first columns of that with the smaller ``last`` are first columns of the other too, if it has them: so its
-    cap bounds their overlap.
+    cap bounds their overlap. A doc_id with several texts has no such bound: its cap is above all sizes and its last below all columns,
+    so that no link of any of its texts is ruled out.
     """
     first = F.col("size") - _least(F.col("size"), percent) + 1
-    facts = shared.groupBy("doc_id").agg((F.first("size") - F.first(first) + F.sum((F.col("gram") >= 0).cast("int"))).cast("int").alias("cap"), F.max(F.when(F.col("gram") < 0, -1 - F.col("gram"))).alias("last"))
+    ends = F.col("gram") < 0
+    several = F.sum(ends.cast("int")) > 1
+    own = F.first("size") - F.first(first) + F.sum((~ends).cast("int"))
+    cap = F.when(several, F.lit(_NO_CAP)).otherwise(own).cast("int").alias("cap")
+    last = F.when(several, F.lit(-1)).otherwise(F.max(F.when(ends, -1 - F.col("gram")))).alias("last")
+    facts = shared.groupBy("doc_id").agg(cap, last)
     return shared.where("gram >= 0").join(facts, "doc_id").select("gram", "doc_id", "size", "cap", "last")
 
 

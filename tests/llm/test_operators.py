@@ -573,6 +573,17 @@ def test_near_duplicates(spark, monkeypatch, looked, pairs, members):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows)))
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts of very different sizes under one doc_id: each links as it would alone."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        long, short = prose(120, rng), prose(9, rng)
+        shared = prose(20, rng)
+        rows += [(k, short + " " + shared), (k, long + " " + shared), (1000 + k, edited(long, 0.01, rng) + " " + shared), (2000 + k, short + " " + shared + " end")]
+    assert sorted(map(str, map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect()))) == sorted(map(str, brute_components(rows)))
+
+
 def test_columns_over_batches(spark, monkeypatch):
     """Groups and shared rows do not depend on where batches end, nor on which columns are dealt out."""
     rng = np.random.default_rng(43)
