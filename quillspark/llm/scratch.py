@@ -2,86 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_ROOTS: dict[str, weakref.ref] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset and all tasks run on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _root(spark: SparkSession) -> str:
-    """This application's own folder below the shared one, deleted when the driver ends."""
-    base = shared_dir(spark)
-    for root, owner in _ROOTS.items():
-        if root.startswith(base) and owner() is spark.sparkContext:
-            return root
-    root = f"{base}/quillspark-{uuid.uuid4().hex}"
-    _ROOTS[root] = weakref.ref(spark.sparkContext)
-    atexit.register(_remove, root)
-    return root
-
-
-def _remove(path: str) -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        _delete(spark, path)
-    except Exception:  # the session may be gone at exit
-        pass
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def persist_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage and fixes the rows: a lost executor makes Spark read the files again instead of
-    recomputing what led to them.
-    """
-    spark = df.sparkSession
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._quillspark_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table from :func:`persist_table` that no later plan reads."""
-    path = getattr(df, "_quillspark_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: its cleaner acts when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
+from ..plans import durable
+from ..plans.durable import drop_table, persist_table, release, shared_dir
 
 #: Rows of ids that a join may send to every task: some 30 MB there.
 FEW = 1_000_000
@@ -89,7 +15,7 @@ FEW = 1_000_000
 
 def sent_if_few(ids: DataFrame, limit: int = FEW) -> DataFrame:
     """Narrow rows for one side of a join: broadcast if they are at most ``limit``, by count; else the join shuffles."""
-    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+    return durable.sent_if_few(ids, limit)
 
 
 #: Rows from which a key counts as hot, the share of rows that is looked at to find such keys, and how many there are at most;
@@ -129,3 +55,6 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(name))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+
+
+__all__ = ["drop_table", "join_facts", "persist_table", "release", "sent_if_few", "shared_dir", "small_batches"]

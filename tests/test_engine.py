@@ -260,3 +260,20 @@ def test_trait_aware_callers(spark):
 
 def test_stats(spark):
     assert build_stats(X.frame(spark, X.pets())).first() == (3, 8, 12)
+
+
+def test_tables_made_when_asked(spark):
+    index = made(spark, X.billing())
+    assert index.module_deps.count() == 0 and index.files.count() > 0
+    assert not {"_numbered", "_found", "symbols"} & set(vars(index))
+    assert index.edges_of("member").count() > 0
+    assert "_found" not in vars(index)
+
+
+def test_documents_that_share_their_order(spark):
+    docs = X.frame(spark, X.billing())
+    index, same = build_index(docs), build_index(docs.withColumn("doc_seq", F.lit(7)))
+    for kind in ("calls", "extends", "member", "overrides"):
+        assert named(index, kind) == named(same, kind)
+    columns = ["fqn", "file_id", "line", "end_line", "owner_id"]
+    assert sorted(map(str, index.symbols.select(*columns).collect())) == sorted(map(str, same.symbols.select(*columns).collect()))
