@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .scratch import drop_table, join_facts, persist_table, release, small_batches
+from .scratch import drop_table, join_facts, persist_table, release, sent_if_few, small_batches
 
 WINDOW = 50
 ROUNDS = 4
@@ -226,17 +226,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     marked = persist_table(marked, "marked")
     drop_table(names)
     release(docs.sparkSession)
-    # texts with the same doc_id are told apart by a hash of the text; equal texts share their windows
-    kind = F.xxhash64("text").alias("kind")
-    candidates = known.join(marked, "doc_id").select("doc_id", "text", kind, "late", "early")
-    windows = persist_table(_windows(candidates, window, rounds), "windows")
+    # texts with the same doc_id are told apart by a hash of the text, which only they carry; equal texts share their windows
+    twice = persist_table(known.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_twice")), "twice")
+    several = bool(twice.take(1))
+
+    def told_apart(rows: DataFrame) -> DataFrame:
+        if not several:
+            return rows.withColumn("kind", F.lit(0).cast("long"))
+        return rows.join(sent_if_few(twice), "doc_id", "left").withColumn("kind", F.when(F.col("_twice"), F.xxhash64("text")).otherwise(F.lit(0)))
+
+    candidates = told_apart(known.join(marked, "doc_id")).select("doc_id", "text", "kind", "late", "early")
+    windows = persist_table(_windows(candidates, window, rounds), "windows", compression="zstd")
+    drop_table(marked)
     release(docs.sparkSession)
     again = join_facts(windows.where("late"), ["one", "two"], lambda x: x.groupBy("one", "two").agg(F.min("doc_id").alias("least")), windows.where("early")).where("least < doc_id")
     starts = persist_table(again.groupBy("doc_id", "kind").agg(F.collect_set("start").alias("starts")), "starts")
     drop_table(windows)
-    drop_table(marked)
     release(docs.sparkSession)
-    joined = docs.withColumn("kind", kind).join(starts, ["doc_id", "kind"], "left").select("doc_id", "text", "starts")
+    joined = told_apart(docs).join(starts, ["doc_id", "kind"], "left").select("doc_id", "text", "starts")
     return _kept(joined, window)
 
 

@@ -509,6 +509,22 @@ def test_repeats_of_nothing(spark):
     assert substrings.remove_repeats(frame(spark, []), 50).count() == 0
 
 
+def test_names_go_before_windows_meet(spark, monkeypatch):
+    left, join_facts = [], substrings.join_facts
+
+    def spied(rows, keys, *more):
+        left.append([os.path.exists(t._quillspark_path.removeprefix("file://")) for t in made if "/marked-" in t._quillspark_path])
+        return join_facts(rows, keys, *more)
+
+    made, persist_table = [], substrings.persist_table
+    monkeypatch.setattr(substrings, "persist_table", lambda *a, **b: made.append(persist_table(*a, **b)) or made[-1])
+    monkeypatch.setattr(substrings, "join_facts", spied)
+    text = " ".join(f"w{k}" for k in range(60))
+    got = substrings.remove_repeats(frame(spark, [(1, text), (2, text), (2, "other " + text), (3, "short")])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, 60), (2, 60), (3, 0)]
+    assert left == [[], [False]]
+
+
 def test_equal_windows_get_equal_names():
     rng = np.random.default_rng(5)
     texts = [" ".join(rng.choice(list("ab"), 120)) for _ in range(40)] + ["a " * 90]
