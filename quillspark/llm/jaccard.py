@@ -409,7 +409,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
     # few pairs meet the sets where they are read; then only one set of each pair moves
     left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")).join(sent_if_few(pairs), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+    # many pairs have the same representative, whose set moves once; sets that are no pair's second stay
+    right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")).join(sent_if_few(pairs.select("b").distinct()), "b", "left_semi")
+    both = left.join(right, "b")
     overlap = F.size(F.array_intersect("x", "y"))
     return persist_table(both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b"), "links")
 
@@ -450,6 +452,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, p
     best = persist_table(likely.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b")), "best")
     sets = _whole_sets(known, _ends(likely), n)
     linked = _verified(best, sets, percent)
+    release(docs.sparkSession)
     # whoever the best one does not link with tries the others
     others = likely.select("a", "b").join(linked.select("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti")
     more = _verified(others, sets, percent)
@@ -467,7 +470,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, p
     needed = _ends(pairs).unionByName(members.select(F.col("a").alias("doc_id")))
     if needed.take(1):
         sets = _whole_sets(known, needed, n)
-        added = _verified(pairs, sets, percent).unionByName(_blocks(members, sets, percent))
+        verified = _verified(pairs, sets, percent)
+        release(docs.sparkSession)
+        added = verified.unionByName(_blocks(members, sets, percent))
         # components so far stand for their links
         label = persist_table(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added)), "labels")
         drop_table(sets)

@@ -624,6 +624,26 @@ def test_columns_over_batches(spark, monkeypatch):
     assert sorted(map(str, map(tuple, jaccard.near_duplicates(frame(spark, docs)).collect()))) == sorted(map(str, brute_components(docs)))
 
 
+def test_near_duplicates_move_one_side_at_a_time(spark, monkeypatch):
+    """Shuffles of one comparison are gone when the next begins."""
+    rows = [(k, " ".join(f"w{k % 40}x{j}" if j or k < 40 else f"v{k}" for j in range(60))) for k in range(120)]
+    held, verified = [], jaccard._verified
+
+    def counted(*args):
+        held.append(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size())
+        return verified(*args)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    monkeypatch.setattr(jaccard, "sent_if_few", lambda x: x)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = jaccard.near_duplicates(frame(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows)))
+    assert len(held) >= 2 and held[1] <= held[0]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.near_duplicates(frame(spark, [(1, "a b")])).collect()] == [(1, 1, 1)]
