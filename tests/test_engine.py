@@ -300,7 +300,7 @@ def test_named_refs_take_few_shuffles(spark, pets, monkeypatch):
     try:
         named = pets.named_refs().select("fqn", "path", "line", "col", "role")
         plan = named._jdf.queryExecution().optimizedPlan().toString()
-        assert "symbol_id" not in plan and plan.count("(unit#") == 1
+        assert "symbol_id" not in plan and plan.count("Join Inner, (unit#") == 1
         assert sorted(named.collect()) == sorted(ids.collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
